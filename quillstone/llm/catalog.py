@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, sharding, warc
+from . import bpe, minhash, packing, quality, sharding, warc
 from .common import Scratch, table
 
 
@@ -16,6 +16,10 @@ def _tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +34,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), scratch)
@@ -37,7 +45,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op3_stratified_shards, op5_best_fit_packing, op10_warc_archive)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_byte_bpe, op3_stratified_shards, op5_best_fit_packing, op8_quality_discriminant, op10_warc_archive)
 }
 
 OP10_SQL = """
