@@ -8,8 +8,9 @@ from math import log
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -166,6 +167,13 @@ def class_sums(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.nda
     return out
 
 
+def learn(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Discriminant:
+    """The discriminant of written statistics ``id, x`` and labels, without the held-out fold."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = known.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
+    return fit(class_sums(stats.join(known, "id")))
+
+
 def score_documents(
     docs: DataFrame,
     labels: DataFrame,
@@ -186,9 +194,7 @@ def score_documents(
     """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.write(document_statistics(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    known = known.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(class_sums(stats.join(known, "id"))))
+    model = docs.sparkSession.sparkContext.broadcast(learn(stats, labels, id_col, label_col))
 
     def run(batches):
         for b in batches:
@@ -203,3 +209,29 @@ def score_documents(
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def accepted_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The documents that score ``threshold`` or more, with their columns as they are.
+
+    After the fit texts are scored where they are read, so that no text is exchanged.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "quality")
+    stats = scratch.write(document_statistics(docs, id_col, text_col), "statistics")
+    model = spark.sparkContext.broadcast(learn(stats, labels, id_col, label_col))
+    scratch.drop("statistics")
+
+    @F.pandas_udf("boolean")
+    def accepts(text: pd.Series) -> pd.Series:
+        x = np.array([statistics(t or "") for t in text], float).reshape(-1, len(NAMES))
+        return pd.Series(model.value.score(x) >= threshold)
+
+    return docs.filter(accepts(F.col(text_col)))
