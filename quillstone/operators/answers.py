@@ -193,12 +193,12 @@ def continuations(answers: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     mark = F.struct(
         "answer_id",
         F.substring("raw_text", -CUE_TAIL, CUE_TAIL).rlike(T.CONTINUATION_CUE).alias("cue"),
-        F.element_at("regions", -1)["bbox"].alias("bbox"),
+        F.try_element_at("regions", F.lit(-1))["bbox"].alias("bbox"),
     )
     df = answers.withColumn("__mark", mark).withColumn("__before", F.lag("__mark").over(on_page)).withColumn("__first", F.row_number().over(on_page) == 1)
     last = df.groupBy(key, "page").agg(F.max_by("__mark", "segment").alias("__last"))
     df = df.join(last.withColumn("page", F.col("page") + 1), [key, "page"], "left")
-    own = F.col("regions")[0]["bbox"]
+    own = F.get("regions", F.lit(0))["bbox"]
     bare = F.col("detected_label").isNull()
     same = bare & F.col("__before.cue") & (F.abs(own["x1"] - F.col("__before.bbox.x1")) <= params.indent_shift)
     over = bare & F.col("__first") & (F.col("__last.bbox.y2") >= params.page_bottom) & (own["y1"] <= params.page_top)

@@ -11,6 +11,7 @@ from ..operators import answers as A
 from ..operators import grading, layout, mapping, review
 from ..operators import questions as Q
 from ..schemas import DEFAULTS, Params
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -48,8 +49,8 @@ def process(
 ) -> Run:
     """Extract, map and grade. ``blocks`` has ``assessment_id``, ``kind`` (question_paper
     or answer_sheet) and ``position``; replies of models are optional tables."""
-    questions = Q.extract_questions(blocks.filter(F.col("kind") == "question_paper"), params)
-    found = A.extract_answers(blocks.filter(F.col("kind") == "answer_sheet"), params)
+    questions = written(Q.extract_questions(blocks.filter(F.col("kind") == "question_paper"), params), "questions")
+    found = written(A.extract_answers(blocks.filter(F.col("kind") == "answer_sheet"), params), "answers")
     if corrections is not None:
         found = A.apply_corrections(found, corrections, params)
     return map_and_grade(questions, found, params, rubrics, verdicts, llm_grades)
@@ -63,9 +64,12 @@ def map_and_grade(
     verdicts: DataFrame | None = None,
     llm_grades: DataFrame | None = None,
 ) -> Run:
-    """The part of a run after extraction; also a remap, which drops earlier corrections."""
-    whole = A.merge_continuations(found)
-    mappings = mapping.map_answers(questions, whole, params, verdicts)
-    grades = grading.grade(mappings, questions, whole, rubrics, llm_grades, params)
+    """The part of a run after extraction; also a remap, which drops earlier corrections.
+
+    ``questions`` and ``found`` should be stored tables, as each is read several times.
+    """
+    whole = written(A.merge_continuations(found), "whole-answers")
+    mappings = written(mapping.map_answers(questions, whole, params, verdicts), "mappings")
+    grades = written(grading.grade(mappings, questions, whole, rubrics, llm_grades, params), "grades")
     summary = grading.summarise(grades, ["assessment_id"])
     return Run(questions, Q.ambiguities(questions, params), whole, mappings, grades, summary)

@@ -50,7 +50,7 @@ def quoted(s: str) -> str:
 
 def sql_up(x: str, places: int = 0) -> str:
     scale = f"CAST({10**places} AS DOUBLE)"
-    return f"floor({x} * {scale} + CAST(0.5 AS DOUBLE)) / {scale}" if places else f"floor({x} + CAST(0.5 AS DOUBLE))"
+    return f"floor(({x}) * {scale} + CAST(0.5 AS DOUBLE)) / {scale}" if places else f"floor(({x}) + CAST(0.5 AS DOUBLE))"
 
 
 def num(x: float) -> str:
@@ -312,9 +312,9 @@ def turn_pairs(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH d AS (SELECT doc_id, list_distinct({sql_tokens("text")}) AS tokens FROM documents), b AS (SELECT item_id, list_distinct({sql_tokens("text")}) AS tokens FROM benchmark),
-j AS (SELECT doc_id, item_id, count(*) AS both FROM (SELECT doc_id, unnest(tokens) AS token FROM d) JOIN (SELECT item_id, unnest(tokens) AS token FROM b) USING (token) GROUP BY 1, 2)
-SELECT doc_id, item_id, {sql_up("CAST(both AS DOUBLE) / sqrt(CAST(len(d.tokens) * len(b.tokens) AS DOUBLE))", 4)} AS overlap FROM j JOIN d USING (doc_id) JOIN b USING (item_id)
-WHERE CAST(both AS DOUBLE) / sqrt(CAST(len(d.tokens) * len(b.tokens) AS DOUBLE)) >= {num(0.3)}""")
+j AS (SELECT doc_id, item_id, count(*) AS common FROM (SELECT doc_id, unnest(tokens) AS token FROM d) JOIN (SELECT item_id, unnest(tokens) AS token FROM b) USING (token) GROUP BY 1, 2)
+SELECT doc_id, item_id, {sql_up("CAST(common AS DOUBLE) / sqrt(CAST(len(d.tokens) * len(b.tokens) AS DOUBLE))", 4)} AS overlap FROM j JOIN d USING (doc_id) JOIN b USING (item_id)
+WHERE CAST(common AS DOUBLE) / sqrt(CAST(len(d.tokens) * len(b.tokens) AS DOUBLE)) >= {num(0.3)}""")
 def tokenize_overlap(t: Tables) -> DataFrame:
     """Every document against every benchmark item with a common token, through the token."""
     d = t.documents.select("doc_id", F.array_distinct(T.tokenize(F.col("text"))).alias("x"))
@@ -580,11 +580,11 @@ PAPER_SQL = "SELECT o_custkey AS assessment_id, row_number() OVER (PARTITION BY
 
 @query(f"""WITH q AS ({PAPER_SQL}), f AS (SELECT assessment_id, bool_or(falls) AS falls FROM (SELECT assessment_id, top < lag(top) OVER (PARTITION BY assessment_id ORDER BY i) AS falls FROM q) GROUP BY 1),
 g AS (SELECT assessment_id, top, lag(top) OVER (PARTITION BY assessment_id ORDER BY top) AS before FROM (SELECT DISTINCT assessment_id, top FROM q)),
-u AS (SELECT assessment_id, 0 AS part, 0 AS at, 'non_monotonic_numbering' AS issue FROM f WHERE falls
+u AS (SELECT assessment_id, 0 AS part, 0 AS spot, 'non_monotonic_numbering' AS issue FROM f WHERE falls
  UNION ALL SELECT assessment_id, 1, before, 'gap_between_' || before || '_and_' || top FROM g WHERE top - before > 1
  UNION ALL SELECT assessment_id, 2, 2 * i, 'empty_body:' || top FROM q WHERE text = ''
  UNION ALL SELECT assessment_id, 2, 2 * i + 1, 'low_confidence:' || top FROM q WHERE confidence < {num(0.7)})
-SELECT assessment_id, string_agg(issue, ';' ORDER BY part, at, issue) AS issues FROM u GROUP BY 1""")
+SELECT assessment_id, string_agg(issue, ';' ORDER BY part, spot, issue) AS issues FROM u GROUP BY 1""")
 def monotonic_gaps(t: Tables) -> DataFrame:
     i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     text = F.when(F.col("o_orderkey") % 6 == 0, "").otherwise(F.col("o_orderpriority"))
@@ -619,7 +619,7 @@ def rate_window(t: Tables) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT event_id, max(CASE WHEN event_type = 'error' THEN epoch_us(ts) + 900000000 WHEN event_type = 'signup' THEN epoch_us(ts) + 3600000000 END)
- OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until, epoch_us(ts) AS at FROM events) SELECT event_id, coalesce(until > at, false) AS is_open FROM x""")
+ OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until, epoch_us(ts) AS moment FROM events) SELECT event_id, coalesce(until > moment, false) AS is_open FROM x""")
 def breaker_state(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "quota").when(F.col("event_type") == "signup", "unavailable").otherwise("other")
     return jobs.breaker_state(t.events, "user_id", "ts", jobs.cooldown_seconds(kind)).select("event_id", "is_open")

@@ -57,7 +57,8 @@ def run(conversations: DataFrame) -> assessment.Run:
 def deduplicated_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """Events read as a file stream, doubled, and written once by id."""
     out = shared.scratch_path(spark, "stream")
-    stream = spark.readStream.schema(schema).parquet(path)
+    spark.read.parquet(path).write.parquet(f"{out}/incoming")
+    stream = spark.readStream.schema(schema).parquet(f"{out}/incoming")
     twice = stream.union(stream).withColumn("ts", F.col("ts").cast("timestamp"))
     first = jobs.first_uploads(twice, ["event_id"], "ts", "60 days").select("event_id", "user_id")
     query = first.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -17,3 +17,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quillstone/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: later steps read it instead of
+    running what made it again, also after executors are lost."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,7 +33,7 @@ def within_limit(events: DataFrame, key: str, at: str, params: Params = DEFAULTS
 def breaker_state(events: DataFrame, key: str, at: str, cooldown: Column) -> DataFrame:
     """Adds ``is_open``: whether an earlier failure's cooldown (seconds, null for no failure)
     still runs at each event."""
-    until = F.unix_micros(F.col(at).cast("timestamp")) + (cooldown * 1_000_000).cast("long")
+    until = F.unix_micros(F.col(at).cast("timestamp")) + cooldown.cast("long") * 1_000_000
     earlier = Window.partitionBy(key).orderBy(at, "event_id").rowsBetween(Window.unboundedPreceding, -1)
     df = events.withColumn("__until", until).withColumn("__open_until", F.max("__until").over(earlier))
     is_open = F.coalesce(F.col("__open_until") > F.unix_micros(F.col(at).cast("timestamp")), F.lit(False))
