@@ -123,7 +123,7 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: float = 0
         return Discriminant(nothing, nothing + 1, (), (), (), float(present[0]) if present else 0.5)
     n = sum(sums[k][0] for k in present)
     center = sum(sums[k][1] for k in present) / n
-    scale = np.sqrt(np.maximum(np.diag(sum(sums[k][2] for k in present)) / n - center**2, 1e-12))
+    scale = np.sqrt(np.maximum(np.diag(sum(sums[k][2] for k in present)) / n - center**2, 1e-6))  # a constant statistic has rounding noise only
     means, scatter = [], []
     for k in present:
         nk, s, ss = sums[k]
