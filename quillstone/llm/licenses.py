@@ -67,7 +67,10 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 
 #: What the scan looks at closely: every known text holds one of these (tested).
-ANCHOR = "(?i)licen[cs]|spdx|permission|redistribution|public domain|without any express or implied warranty"
+ANCHOR = (
+    "(?i)licen[cs]|spdx|permission|redistribution|public domain|without any express or implied warranty"
+    "|(released|distributed|available|published|provided)[^0-9a-z]+under"
+)
 
 #: Canonical form of a lower-cased text, step by step; patterns mean the same in Java,
 #: Python and RE2. Copyright lines go first, while there are lines.
@@ -137,7 +140,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Every entire text that is a known licence or licence notice.
 
     Texts are the document as a whole, its paragraphs (parted by blank lines) where it
-    has several, and its lines where a paragraph has several. Each is brought to its
+    has several, and its lines where they outnumber its paragraphs. Each is brought to its
     canonical form, digested, and joined by digest with the known ones, whose number
     is fixed. Columns: the id, ``scope`` ('document', 'paragraph' or 'line'), ``place``
     (number of the paragraph or line from 0; 0 for a document), ``license`` (SPDX),
