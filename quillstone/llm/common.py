@@ -48,8 +48,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """Write a table and read it back. ``free`` has the driver collect its garbage, on
+        which Spark deletes the shuffle files that made the table; else those of a whole
+        run of steps may lie on the executors' disks together."""
         df.write.option("compression", "zstd").parquet(self.path(name))
+        if free:
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

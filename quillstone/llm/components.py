@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch
 
+#: Rows of a key up to which all pairs across components are made directly.
+SMALL = 24
+
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``node`` and ``comp`` (the smallest node reachable) of every node in ``edges(a, b)``.
@@ -45,49 +49,117 @@ def _stars(e: DataFrame) -> bool:
 
 def link_by_keys(
     keys: DataFrame,
+    nodes: DataFrame,
+    near: Callable[[str, str], Column],
+    prepare: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
+    scratch: Scratch,
+    name: str,
+    differ: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    rounds: int = 1,
+) -> DataFrame:
+    """Components under all verified links between rows of ``keys(key, node)`` that share a key.
+
+    A node has each of its keys once. ``near(a, b)`` is a cheap necessary condition on
+    the columns of two aliases of ``nodes(node, ...)``, ``prepare(nodes)`` gives the contents
+    of nodes, and ``verify(pairs(a, b), contents)`` returns those pairs that are links.
+
+    First each row of a key is paired with one hub only, the row that shares the most
+    keys with others; that links most of a group of copies by a number of pairs linear
+    in it. Each further round takes the hub among the rows still apart from the first
+    hub's component. Then rows that are still apart are paired with all rows of the key
+    in another component: directly in keys of SMALL rows at most, and through the
+    elements in which they differ from the hub (see _by_difference) beyond, if ``differ``
+    is given. Pairs left out lie within one component or cannot be links, so no
+    component is lost.
+    """
+    others = [c for c in nodes.columns if c != "node"]
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = scratch.write(keys.join(sizes, "key"), f"{name}-shared", free=True)
+    contents = scratch.write(prepare(shared.select("node").distinct()), f"{name}-contents", free=True)
+    degree = shared.groupBy("node").agg(F.sum("m").alias("degree")).join(nodes, "node")
+    rows = scratch.write(shared.join(degree, "node").withColumn("comp", F.col("node")), f"{name}-rows", free=True)
+    scratch.drop(f"{name}-shared")
+
+    body = ["node", "comp", *others]
+    tested = links = comp = None
+    for r in range(rounds):
+        fresh = rows if r == 0 else rows.filter("comp <> hub_comp")
+        hubs = fresh.groupBy("key").agg(F.max(F.struct("degree", "node", "comp", *others)).alias("x"))
+        stars = rows.join(hubs, "key").select("x", F.struct(*body).alias("y")).filter((F.col("x.comp") != F.col("y.comp")) & near("x", "y"))
+        pairs = stars.select(*_pair()).distinct()
+        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if r else pairs, f"{name}-pairs-{r}")
+        tested = tested.union(pairs) if r else pairs
+        found = scratch.write(verify(pairs, contents), f"{name}-links-{r}", free=True)
+        links = links.union(found) if r else found
+        comp = scratch.write(components(links, scratch, f"{name}-c{r}"), f"{name}-comp-{r}")
+        if r == 0:
+            rows = rows.join(hubs.select("key", F.col("x.node").alias("hub")), "key")
+        hub_comp = comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+        rows = rows.drop("comp", "hub_comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rows = rows.join(hub_comp, "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
+        open_keys = rows.filter("comp <> hub_comp").select("key").distinct()
+        rows = scratch.write(rows.join(open_keys, "key", "left_semi"), f"{name}-rows-{r}")
+        scratch.drop(f"{name}-rows" if r == 0 else f"{name}-rows-{r - 1}")
+
+    rows = rows.filter("node <> hub")
+    small = rows.filter(F.col("m") <= SMALL) if differ else rows
+    x = small.filter("comp <> hub_comp").select("key", F.struct(*body).alias("x"))
+    y = small.select("key", F.struct(*body, "hub_comp").alias("y"))
+    more = x.join(y, "key").filter(_once() & near("x", "y")).select(*_pair()).distinct()
+    if differ:
+        big = rows.filter(F.col("m") > SMALL).drop("key", "m", "degree").dropDuplicates(["hub", "node"])
+        more = more.union(_by_difference(big, near, lambda pairs: differ(pairs, contents), scratch, name)).distinct()
+    more = scratch.write(more.join(tested, ["a", "b"], "left_anti"), f"{name}-more")
+    second = scratch.write(verify(more, contents), f"{name}-more-links", free=True)
+    if not second.isEmpty():
+        comp = scratch.write(components(links.union(second), scratch, f"{name}-d"), f"{name}-comp")
+    scratch.drop(f"{name}-contents", f"{name}-differences", f"{name}-more", f"{name}-rows-{rounds - 1}")
+    return comp
+
+
+def _once() -> Column:
+    """Rows of different components; of two that are both apart from the hub, one order only."""
+    linked = F.col("y.comp") == F.col("y.hub_comp")
+    return (F.col("x.comp") != F.col("y.comp")) & (linked | (F.col("x.node") < F.col("y.node")))
+
+
+def _pair() -> list[Column]:
+    return [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+
+
+def _by_difference(
+    rows: DataFrame,
     near: Callable[[str, str], Column],
-    verify: Callable[[DataFrame, str], DataFrame],
+    differ: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
     name: str,
 ) -> DataFrame:
-    """Components under all verified links between rows of ``keys(key, node, ...)`` that share a key.
+    """Candidate pairs of rows with a common hub, of which one at least is not linked to it.
 
-    ``near(a, b)`` is a cheap necessary condition on the columns of two aliases;
-    ``verify(pairs(a, b), name)`` returns those pairs that are links.
+    With D(x) the elements in which x and the hub h differ, x and y differ in
+    |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, and a link allows r (|x| + |y|) of them. As
+    x is not linked to h, |D(x)| > r (|x| + |h|), so linked x and y have at least
+    |D(y)| / 2 + r (|h| - |y|) / 2 elements of D in common, and at least
+    (|D(x)| - r (|x| + |h|)) / 2. By the prefix principle they share one among the rarest
+    |D| + 1 less that number of each, and rows meet there only: what copies changed
+    each for itself is rare and never meets.
 
-    First each row of a key is paired with the key's smallest node only, which links
-    most of a large group at a number of pairs that is linear in it. Then rows of a key
-    that are not yet in its smallest node's component are paired with all rows of that
-    key that are in another component than theirs. Pairs left out lie within one
-    component, so no link that matters is lost.
+    ``differ(pairs(hub, node))`` gives ``hub, node, least_x, least_y, diff``: the two
+    numbers of common elements above, whole, and the array D.
     """
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub < far").select("key", "hub")
-    shared = scratch.write(keys.join(hubs, "key"), f"{name}-shared")
-    others = [c for c in keys.columns if c not in ("key", "node")]
-    hub_rows = shared.filter("node = hub").select("key", *(F.col(c).alias(f"hub_{c}") for c in others)).dropDuplicates(["key"])
-    a = shared.filter("node <> hub").join(hub_rows, "key")
-    a = a.select(F.struct(*([F.col("hub").alias("node")] + [F.col(f"hub_{c}").alias(c) for c in others])).alias("x"), F.struct("node", *others).alias("y"))
-    first = a.filter(near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    first = scratch.write(first, f"{name}-pairs")
-    links = scratch.write(verify(first, f"{name}-first"), f"{name}-links")
-    comp = scratch.write(components(links, scratch, f"{name}-c"), f"{name}-comp")
-
-    hub_comp = comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-    rows = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = rows.join(hub_comp, "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
-    rows = scratch.write(rows, f"{name}-rows")
-    apart = rows.filter("comp <> hub_comp")
-    open_keys = apart.select("key").distinct()
-    x = apart.select("key", F.struct("node", "comp", *others).alias("x"))
-    y = rows.join(open_keys, "key", "left_semi").select("key", F.struct("node", "comp", "hub_comp", *others).alias("y"))
-    once = (F.col("y.comp") == F.col("y.hub_comp")) | (F.col("x.node") < F.col("y.node"))
-    pairs = x.join(y, "key").filter((F.col("x.comp") != F.col("y.comp")) & once & near("x", "y"))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    pairs = scratch.write(pairs.join(first, ["a", "b"], "left_anti"), f"{name}-more")
-    scratch.drop(f"{name}-rows", f"{name}-shared")
-    if pairs.isEmpty():
-        return comp
-    more = scratch.write(verify(pairs, f"{name}-second"), f"{name}-more-links")
-    if more.isEmpty():
-        return comp
-    return scratch.write(components(links.union(more), scratch, f"{name}-d"), f"{name}-comp2")
+    apart = F.col("comp") != F.col("hub_comp")
+    open_hubs = rows.filter(apart).select("hub").distinct()
+    rows = rows.join(open_hubs, "hub", "left_semi")
+    found = scratch.write(differ(rows.select("hub", "node")), f"{name}-differences", free=True)
+    each = found.select("hub", "node", "least_x", "least_y", F.size("diff").alias("size"), F.explode("diff").alias("e"))
+    often = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # an element of one row only meets nothing, but it fills a place among the rarest
+    ranked = each.join(often, ["hub", "e"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("hub", "node").orderBy("often", "e"))
+    ranked = ranked.withColumn("place", place).filter("often > 1").filter(F.col("place") <= F.col("size") + 1 - F.least("least_x", "least_y"))
+    others = [c for c in rows.columns if c not in ("hub", "node")]
+    told = ranked.join(rows, ["hub", "node"])
+    x = told.filter(apart).filter(F.col("place") <= F.col("size") + 1 - F.col("least_x")).select("hub", "e", F.struct("node", *others).alias("x"))
+    y = told.filter(F.col("place") <= F.col("size") + 1 - F.col("least_y")).select("hub", "e", F.struct("node", *others).alias("y"))
+    return x.join(y, ["hub", "e"]).filter(_once() & near("x", "y")).select(*_pair()).distinct()

@@ -84,6 +84,10 @@ def _planes(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(((sig >> np.uint64(k) & one) << place).sum(axis=1, dtype=np.uint64) for k in (0, 1))
 
 
+def _digest(hashes: np.ndarray) -> int:
+    return int.from_bytes(blake2b(hashes.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """Per document: ``id, n`` (set size), ``node`` (64-bit digest of the whole set), ``sig``."""
 
@@ -93,7 +97,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
                 n.append(len(h))
-                node.append(int.from_bytes(blake2b(h.tobytes(), digest_size=8).digest(), "big", signed=True) if len(h) else None)
+                node.append(_digest(h) if len(h) else None)
                 sig.append(signature(h).astype("<u2").tobytes() if len(h) else None)
             yield pa.record_batch(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "node", "sig"]
@@ -103,20 +107,32 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, node long, sig binary")
 
 
+def _symbols(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SYMBOLS).astype(np.uint64)
+
+
 def _keys(nodes: DataFrame) -> DataFrame:
-    """``key, node, n, p, q``: a row for each key of each node; p and q are its sketch."""
+    """``key, node``: a row for each key of each node."""
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, SYMBOLS).astype(np.uint64)
-            per = CHUNKS * WIDTH
-            p, q = _planes(sig)
-            cols = [chunk_keys(sig).ravel(), b.column(0).to_numpy().repeat(per), b.column(1).to_numpy().repeat(per), p.repeat(per), q.repeat(per)]
-            yield pa.record_batch([pa.array(c.view(np.int64)) for c in cols], names=["key", "node", "n", "p", "q"])
+            if b.num_rows:
+                keys = chunk_keys(_symbols(b.column(1))).ravel().view(np.int64)
+                yield pa.record_batch([pa.array(keys), pa.array(b.column(0).to_numpy().repeat(CHUNKS * WIDTH))], names=["key", "node"])
 
-    return nodes.select("node", "n", "sig").mapInArrow(run, "key long, node long, n long, p long, q long")
+    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
+
+
+def sketches(nodes: DataFrame) -> DataFrame:
+    """``node, n, p, q``: the set size and two bit planes of each signature."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                p, q = (pa.array(x.view(np.int64)) for x in _planes(_symbols(b.column(2))))
+                yield pa.record_batch([b.column(0), b.column(1), p, q], names=["node", "n", "p", "q"])
+
+    return nodes.select("node", "n", "sig").mapInArrow(run, "node long, n long, p long, q long")
 
 
 def near_duplicates(
@@ -153,41 +169,66 @@ def near_duplicates(
         apart = F.col(f"{a}.p").bitwiseXOR(F.col(f"{b}.p")).bitwiseOR(F.col(f"{a}.q").bitwiseXOR(F.col(f"{b}.q")))
         return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.bit_count(apart) <= SKETCH_LIMIT)
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def prepare(wanted: DataFrame) -> DataFrame:
+        """``node, h``: the sorted hashes of each node's set, from one of its documents."""
         ids = full.join(wanted, "node").select("id", "node")
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id")
 
         def sets(batches):
             for b in batches:
                 h = [shingle_hashes(t, words) for t in b.column(1).to_pylist()]
-                own = [int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "big", signed=True) for x in h]
+                own = [_digest(x) for x in h]
                 right = [i for i, (x, node) in enumerate(zip(own, b.column(0).to_pylist(), strict=True)) if x == node]
                 data = pa.array([h[i].tobytes() for i in right], pa.binary())
                 yield pa.record_batch([b.column(0).take(pa.array(right, pa.int32())), data], names=["node", "h"])
 
-        known = scratch.write(texts.select("node", "text").mapInArrow(sets, "node long, h binary"), f"{name}-sets")
+        return texts.select("node", "text").mapInArrow(sets, "node long, h binary")
 
+    def both(pairs: DataFrame, known: DataFrame, a: str, b: str) -> DataFrame:
+        pairs = pairs.join(known.select(F.col("node").alias(b), F.col("h").alias("hb")), b)
+        return pairs.join(known.select(F.col("node").alias(a), F.col("h").alias("ha")), a).select(a, b, "ha", "hb")
+
+    def common(u: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both sets, and which elements of the first the second has."""
+        u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
+        return u, v, v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u
+
+    def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
         def confirm(batches):
             for b in batches:
                 keep = []
-                x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-                for i, (u, v) in enumerate(zip(x, y, strict=True)):
-                    u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-                    if len(u) > len(v):
-                        u, v = v, u
-                    at = np.searchsorted(v, u)
-                    common = int((v[np.minimum(at, len(v) - 1)] == u).sum())
-                    if 100 * common >= percent * (len(u) + len(v) - common):
+                for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                    u, v, shared = common(x, y)
+                    n = int(shared.sum())
+                    if 100 * n >= percent * (len(u) + len(v) - n):
                         keep.append(i)
                 took = pa.array(keep, pa.int32())
                 yield pa.record_batch([b.column(0).take(took), b.column(1).take(took)], names=["a", "b"])
 
-        both = pairs.join(known.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
-        both = both.join(known.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a")
-        return both.select("a", "b", "ha", "hb").mapInArrow(confirm, "a long, b long").distinct()
+        return both(pairs, known, "a", "b").mapInArrow(confirm, "a long, b long").distinct()
 
-    comp = link_by_keys(_keys(full), near, verify, scratch, "near")
+    def differ(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        def sides(batches):
+            for b in batches:
+                x_least, y_least, diff = [], [], []
+                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    h, v, shared = common(x, y)
+                    d = np.setxor1d(h, v, assume_unique=True)
+                    # 100 + percent times each bound, rounded down to whole elements
+                    room = 100 + percent
+                    apart = (room * len(d) - (100 - percent) * (len(v) + len(h))) // (2 * room)
+                    half = (room * len(d) + (100 - percent) * (len(h) - len(v))) // (2 * room)
+                    x_least.append(max(1, apart))
+                    y_least.append(max(1, half))
+                    diff.append(d.view(np.int64))
+                yield pa.record_batch(
+                    [b.column(0), b.column(1), pa.array(x_least, pa.int32()), pa.array(y_least, pa.int32()), pa.array(diff, pa.list_(pa.int64()))],
+                    names=["hub", "node", "least_x", "least_y", "diff"],
+                )
+
+        return both(pairs, known, "hub", "node").mapInArrow(sides, "hub long, node long, least_x int, least_y int, diff array<long>")
+
+    comp = link_by_keys(_keys(full), sketches(full), near, prepare, verify, scratch, "near", differ)
     of_node = full.select("node", "id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = of_node.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = scratch.write(of_node.join(smallest, "comp").select("node", "component_id"), "named")
