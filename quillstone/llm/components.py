@@ -143,16 +143,17 @@ def _by_difference(
     |D(y)| / 2 + r (|h| - |y|) / 2 elements of D in common, and at least
     (|D(x)| - r (|x| + |h|)) / 2. By the prefix principle they share one among the rarest
     |D| + 1 less that number of each, and rows meet there only: what copies changed
-    each for itself is rare and never meets.
+    each for itself is rare and never meets. Where they meet first, what is left of
+    both must still hold the common elements that the pair needs.
 
-    ``differ(pairs(hub, node))`` gives ``hub, node, least_x, least_y, diff``: the two
-    numbers of common elements above, whole, and the array D.
+    ``differ(pairs(hub, node))`` gives ``hub, node, least_x, least_y, allow, diff``: the two
+    numbers of common elements above, whole, r |x|, and the array D.
     """
     apart = F.col("comp") != F.col("hub_comp")
     open_hubs = rows.filter(apart).select("hub").distinct()
     rows = rows.join(open_hubs, "hub", "left_semi")
     found = scratch.write(differ(rows.select("hub", "node")), f"{name}-differences", free=True)
-    each = found.select("hub", "node", "least_x", "least_y", F.size("diff").alias("size"), F.explode("diff").alias("e"))
+    each = found.select("hub", "node", "least_x", "least_y", "allow", F.size("diff").alias("size"), F.explode("diff").alias("e"))
     often = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     # an element of one row only meets nothing, but it fills a place among the rarest
     ranked = each.join(often, ["hub", "e"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
@@ -160,6 +161,20 @@ def _by_difference(
     ranked = ranked.withColumn("place", place).filter("often > 1").filter(F.col("place") <= F.col("size") + 1 - F.least("least_x", "least_y"))
     others = [c for c in rows.columns if c not in ("hub", "node")]
     told = ranked.join(rows, ["hub", "node"])
-    x = told.filter(apart).filter(F.col("place") <= F.col("size") + 1 - F.col("least_x")).select("hub", "e", F.struct("node", *others).alias("x"))
-    y = told.filter(F.col("place") <= F.col("size") + 1 - F.col("least_y")).select("hub", "e", F.struct("node", *others).alias("y"))
-    return x.join(y, ["hub", "e"]).filter(_once() & near("x", "y")).select(*_pair()).distinct()
+    row = F.struct("node", "allow", "size", (F.col("size") - F.col("place")).alias("rest"), *others)
+
+    def rarest(least: str) -> Column:
+        return F.col("place") <= F.col("size") + 1 - F.col(least)
+
+    needed = (F.col("x.size") + F.col("y.size") - F.col("x.allow") - F.col("y.allow")) / 2
+    enough = 1 + F.least("x.rest", "y.rest") >= needed - 1e-6
+    either = [
+        (told.filter(apart & rarest("least_x")), told.filter(~apart & rarest("least_y"))),
+        (told.filter(apart & rarest("least_y")), told.filter(apart & rarest("least_y"))),
+    ]
+    pairs = None
+    for left, right in either:
+        met = left.select("hub", "e", row.alias("x")).join(right.select("hub", "e", row.alias("y")), ["hub", "e"])
+        met = met.filter(_once() & enough & near("x", "y")).select(*_pair())
+        pairs = pairs.union(met) if pairs is not None else met
+    return pairs.distinct()
