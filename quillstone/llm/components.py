@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Scratch
 
@@ -141,36 +140,33 @@ def _by_difference(
     |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, and a link allows r (|x| + |y|) of them. As
     x is not linked to h, |D(x)| > r (|x| + |h|), so linked x and y have at least
     |D(y)| / 2 + r (|h| - |y|) / 2 elements of D in common, and at least
-    (|D(x)| - r (|x| + |h|)) / 2. By the prefix principle they share one among the rarest
-    |D| + 1 less that number of each, and rows meet there only: what copies changed
+    (|D(x)| - r (|x| + |h|)) / 2. By the prefix principle they share one among the first
+    |D| + 1 less that number of each, in one order of a hub's elements, and rows meet there only: what copies changed
     each for itself is rare and never meets. Where they meet first, what is left of
     both must still hold the common elements that the pair needs.
 
-    ``differ(pairs(hub, node))`` gives ``hub, node, least_x, least_y, allow, diff``: the two
-    numbers of common elements above, whole, r |x|, and the array D.
+    ``differ(pairs(hub, node))`` gives ``hub, node, least_x, least_y, allow, size, diff``: the
+    two numbers of common elements above, whole, r |x|, |D|, and the first of D: what the
+    hub lacks, then what it has alone, each in order of the elements.
     """
     apart = F.col("comp") != F.col("hub_comp")
     open_hubs = rows.filter(apart).select("hub").distinct()
     rows = rows.join(open_hubs, "hub", "left_semi")
     found = scratch.write(differ(rows.select("hub", "node")), f"{name}-differences", free=True)
-    each = found.select("hub", "node", "least_x", "least_y", "allow", F.size("diff").alias("size"), F.explode("diff").alias("e"))
-    often = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    # an element of one row only meets nothing, but it fills a place among the rarest
-    ranked = each.join(often, ["hub", "e"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("hub", "node").orderBy("often", "e"))
-    ranked = ranked.withColumn("place", place).filter("often > 1").filter(F.col("place") <= F.col("size") + 1 - F.least("least_x", "least_y"))
+    ranked = found.select("hub", "node", "least_x", "least_y", "allow", "size", F.posexplode("diff").alias("place", "e"))
+    ranked = ranked.withColumn("place", F.col("place") + 1)
     others = [c for c in rows.columns if c not in ("hub", "node")]
     told = ranked.join(rows, ["hub", "node"])
     row = F.struct("node", "allow", "size", (F.col("size") - F.col("place")).alias("rest"), *others)
 
-    def rarest(least: str) -> Column:
+    def among(least: str) -> Column:
         return F.col("place") <= F.col("size") + 1 - F.col(least)
 
     needed = (F.col("x.size") + F.col("y.size") - F.col("x.allow") - F.col("y.allow")) / 2
     enough = 1 + F.least("x.rest", "y.rest") >= needed - 1e-6
     either = [
-        (told.filter(apart & rarest("least_x")), told.filter(~apart & rarest("least_y"))),
-        (told.filter(apart & rarest("least_y")), told.filter(apart & rarest("least_y"))),
+        (told.filter(apart & among("least_x")), told.filter(~apart & among("least_y"))),
+        (told.filter(apart & among("least_y")), told.filter(apart & among("least_y"))),
     ]
     pairs = None
     for left, right in either:

@@ -210,10 +210,11 @@ def near_duplicates(
     def differ(pairs: DataFrame, known: DataFrame) -> DataFrame:
         def sides(batches):
             for b in batches:
-                x_least, y_least, allow, diff = [], [], [], []
+                x_least, y_least, allow, size, diff = [], [], [], [], []
                 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     h, v, shared = common(x, y)
-                    d = np.setxor1d(h, v, assume_unique=True)
+                    own = v[~np.isin(v, h, assume_unique=True)]
+                    d = np.concatenate([own, h[~shared]])  # what the hub lacks is rarer
                     # 100 + percent times each bound, rounded down to whole elements
                     room = 100 + percent
                     apart = (room * len(d) - (100 - percent) * (len(v) + len(h))) // (2 * room)
@@ -221,13 +222,14 @@ def near_duplicates(
                     x_least.append(max(1, apart))
                     y_least.append(max(1, half))
                     allow.append((100 - percent) * len(v) / room)
-                    diff.append(d.view(np.int64))
+                    size.append(len(d))
+                    diff.append(d[: len(d) + 1 - min(x_least[-1], y_least[-1])].view(np.int64))
                 yield pa.record_batch(
-                    [b.column(0), b.column(1), pa.array(x_least, pa.int32()), pa.array(y_least, pa.int32()), pa.array(allow, pa.float64()), pa.array(diff, pa.list_(pa.int64()))],
-                    names=["hub", "node", "least_x", "least_y", "allow", "diff"],
+                    [b.column(0), b.column(1), pa.array(x_least, pa.int32()), pa.array(y_least, pa.int32()), pa.array(allow, pa.float64()), pa.array(size, pa.int32()), pa.array(diff, pa.list_(pa.int64()))],
+                    names=["hub", "node", "least_x", "least_y", "allow", "size", "diff"],
                 )
 
-        return both(pairs, known, "hub", "node").mapInArrow(sides, "hub long, node long, least_x int, least_y int, allow double, diff array<long>")
+        return both(pairs, known, "hub", "node").mapInArrow(sides, "hub long, node long, least_x int, least_y int, allow double, size int, diff array<long>")
 
     comp = link_by_keys(_keys(full), sketches(full), near, prepare, verify, scratch, "near", differ)
     of_node = full.select("node", "id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
