@@ -47,7 +47,7 @@ def _stars(e: DataFrame) -> bool:
 
 
 def link_by_keys(
-    keys: DataFrame,
+    keys: DataFrame | list[DataFrame],
     nodes: DataFrame,
     near: Callable[[str, str], Column],
     prepare: Callable[[DataFrame], DataFrame],
@@ -59,7 +59,8 @@ def link_by_keys(
 ) -> DataFrame:
     """Components under all verified links between rows of ``keys(key, node)`` that share a key.
 
-    A node has each of its keys once. ``near(a, b)`` is a cheap necessary condition on
+    A node has each of its keys once. A list of tables of keys, with no key in two of them, is
+    counted one table after the other, so that only one lies in shuffle files. ``near(a, b)`` is a cheap necessary condition on
     the columns of two aliases of ``nodes(node, ...)``, ``prepare(nodes)`` gives the contents
     of nodes, and ``verify(pairs(a, b), contents)`` returns those pairs that are links.
 
@@ -73,12 +74,16 @@ def link_by_keys(
     component is lost.
     """
     others = [c for c in nodes.columns if c != "node"]
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    shared = scratch.write(keys.join(sizes, "key"), f"{name}-shared", free=True)
+    parts = keys if isinstance(keys, list) else [keys]
+    shared = None
+    for i, part in enumerate(parts):
+        sizes = part.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        some = scratch.write(part.join(sizes, "key"), f"{name}-shared-{i}", free=True)
+        shared = shared.union(some) if i else some
     contents = scratch.write(prepare(shared.select("node").distinct()), f"{name}-contents", free=True)
     degree = shared.groupBy("node").agg(F.sum("m").alias("degree")).join(nodes, "node")
     rows = scratch.write(shared.join(degree, "node").withColumn("comp", F.col("node")), f"{name}-rows", free=True)
-    scratch.drop(f"{name}-shared")
+    scratch.drop(*[f"{name}-shared-{i}" for i in range(len(parts))])
 
     body = ["node", "comp", *others]
     tested = links = comp = None

@@ -268,6 +268,21 @@ def test_op7_lines(spark, docs, empty):
     assert lines.deduplicated_lines(empty).count() == 0 and lines.drop_repeated_lines(docs).count() > 0
 
 
+def test_op7_one_changed_word_is_found(spark):
+    """Groups against edit similarity over all pairs: lines of 8 to 40 words, a word of each replaced."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    texts = []
+    for i in range(120):
+        w = [r.choice(vocabulary) for _ in range(r.randint(8, 40))]
+        texts += [" ".join(w), " ".join([*w[: (k := r.randrange(len(w)))], r.choice(vocabulary), *w[k + 1 :]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {x.doc_id: x.group_id for x in lines.deduplicated_lines(df).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if lines.similar(texts[i], texts[j], lines.SIMILARITY)]
+    assert len(pairs) > 100 and sum(group[i] == group[j] for i, j in pairs) >= 0.97 * len(pairs)
+    assert {(i, j) for i in group for j in range(i) if group[i] == group[j]} <= set(pairs)
+
+
 def test_op8_quality(spark, docs, empty):
     junk = [(i, "!! " + prose(i, 50).upper().replace(" ", "!! "), 0) for i in range(200, 300)]
     good = [(i, prose(i, 60).capitalize() + ".", 1) for i in range(300, 500)]
