@@ -43,7 +43,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.deduplicated_lines(table(spark, sf_dir, "documents"))
+    return lines.deduplicated_lines(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,6 +283,15 @@ def test_op7_one_changed_word_is_found(spark):
     assert {(i, j) for i in group for j in range(i) if group[i] == group[j]} <= set(pairs)
 
 
+def test_op7_short_lines_and_lines_without_spaces(spark):
+    han = "这是一个没有空格的很长的句子它应该被去重"
+    texts = [(1, "Title\nAll rights reserved.\n" + han), (2, "all rights reserved\n" + han + "\nother"), (3, "title!\n--"), (4, "title")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = {(r.doc_id, r.line_no): r for r in lines.deduplicated_lines(df, min_words=1).collect()}
+    assert {k: r.kept for k, r in rows.items()} == {(1, 0): True, (1, 1): True, (1, 2): True, (2, 0): False, (2, 1): False, (2, 2): True, (3, 0): False, (4, 0): False}
+    assert {r.doc_id: r.text for r in lines.drop_repeated_lines(df).collect()} == {1: texts[0][1], 2: "other", 3: "--"}
+
+
 def test_op8_quality(spark, docs, empty):
     junk = [(i, "!! " + prose(i, 50).upper().replace(" ", "!! "), 0) for i in range(200, 300)]
     good = [(i, prose(i, 60).capitalize() + ".", 1) for i in range(300, 500)]
