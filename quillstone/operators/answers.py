@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.numbers import half_up
 from ..schemas import DEFAULTS, Params
+from ..sources.shared import written
 from .questions import regions
 
 DISPLAY_LIMIT = 14
@@ -212,17 +213,26 @@ def continuations(answers: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 def closure(spark: SparkSession, links: DataFrame, node: str, parent: str, by: str) -> DataFrame:
     """``by, node, root, depth`` of every node under the node it descends from; links to
-    unknown parents are roots."""
+    unknown parents are roots, and nodes that descend from themselves have no row.
+
+    Pointer doubling over written tables: each round joins the nodes whose root is not yet
+    known with the row of the node they point to, so that a chain of any length takes as
+    many rounds as the logarithm of its links.
+    """
     known = links.select(F.col(by).alias("g"), F.col(node).alias("n"), F.col(parent).alias("p"))
     parents = known.select(F.col("g"), F.col("n").alias("p"), F.lit(True).alias("known"))
-    known.join(parents, ["g", "p"], "left").select("g", "n", F.when(F.col("known"), F.col("p")).alias("p")).createOrReplaceTempView("__links")
-    found = spark.sql("""
-        WITH RECURSIVE walk(g, n, root, depth) AS (
-            SELECT g, n, n, 0 FROM __links WHERE p IS NULL
-            UNION ALL
-            SELECT l.g, l.n, w.root, w.depth + 1 FROM walk w JOIN __links l ON l.g = w.g AND l.p = w.n)
-        SELECT g, n, root, depth FROM walk""")
-    return found.select(F.col("g").alias(by), F.col("n").alias(node), "root", "depth")
+    known = written(known.join(parents, ["g", "p"], "left").select("g", "n", F.when(F.col("known"), F.col("p")).alias("p")), "links")
+    found = known.filter("p IS NULL").select("g", "n", F.col("n").alias("to"), F.lit(0).alias("depth"), F.lit(True).alias("done"))
+    walk = known.filter("p IS NOT NULL").select("g", "n", F.col("p").alias("to"), F.lit(1).alias("depth"), F.lit(False).alias("done"))
+    left, reach = walk.count(), 1
+    most = left
+    while left and reach <= 2 * most:
+        at = found.union(walk).select("g", F.col("n").alias("to"), F.col("to").alias("__to"), F.col("depth").alias("__depth"), F.col("done").alias("__done"))
+        step = walk.drop("done").join(at, ["g", "to"]).select("g", "n", F.col("__to").alias("to"), (F.col("depth") + F.col("__depth")).alias("depth"), F.col("__done").alias("done"))
+        step = written(step, "closure")
+        found, walk, reach = found.union(step.filter("done")), step.filter("NOT done"), 2 * reach
+        left = walk.count()
+    return found.select(F.col("g").alias(by), F.col("n").alias(node), F.col("to").alias("root"), "depth")
 
 
 def merge_continuations(answers: DataFrame) -> DataFrame:

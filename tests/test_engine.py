@@ -113,6 +113,13 @@ def test_boxes_and_transforms(spark):
     assert abs(p.x - 0.3) < 1e-12 and abs(p.y - 0.7) < 1e-12
 
 
+def test_closure_of_a_long_chain_and_cycles(spark):
+    rows = [("a", i, i - 1 if i else None) for i in range(150)] + [("b", 1, 7), ("b", 2, 1), ("b", 3, 4), ("b", 4, 3), ("b", 5, 3), (None, 1, None)]
+    found = A.closure(spark, spark.createDataFrame(rows, "g string, n int, p int"), "n", "p", "g")
+    got = {(r.g, r.n): (r.root, r.depth) for r in found.collect()}
+    assert got == {("a", i): (0, i) for i in range(150)} | {("b", 1): (1, 0), ("b", 2): (1, 1), (None, 1): (1, 0)}
+
+
 def test_store(spark):
     rows = spark.createDataFrame([("o", 1, "a"), ("o", 2, None), ("p", 1, "a")], "organization_id string, k int, v string")
     assert store.scoped(rows, "o", v=None).count() == 2 and store.scoped(rows, "o", v="a").count() == 1
