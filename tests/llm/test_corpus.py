@@ -3,6 +3,7 @@ repeated rows, empty tables and columns whose names clash."""
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -251,6 +252,25 @@ def test_op6_every_known_text_has_an_anchor():
     assert not [x for x in notices if not re.search(licenses.ANCHOR, x)], "a notice that the scan would skip"
 
 
+def test_op6_whole_texts_inside_documents(spark):
+    mit = licenses.TEXTS["MIT"].replace("\n", "\n\n").replace("MIT License", "MIT License\n\nCopyright (c) 2020 Someone")
+    further = dict(licenses.FURTHER[:2])
+    folder = "/usr/share/common-licenses"
+    texts = [(1, f"A readme.\n\n{mit}\n\nMore prose."), (2, "Copyright (c) 2024 X. Released under the MIT License."), (3, further["BSD-3-Clause"]), (4, further["BSL-1.0"].replace("\n", "\n\n")), (5, "A talk.\n\nOn the permission to talk.")]
+    want = {(1, "run", 1, "MIT"), (2, "document", 0, "MIT"), (3, "document", 0, "BSD-3-Clause"), (4, "document", 0, "BSL-1.0")}
+    for i, (name, spdx) in enumerate({"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}.items(), 10):
+        if os.path.exists(f"{folder}/{name}"):
+            with open(f"{folder}/{name}") as f:
+                text = f.read()
+            texts += [(i, text), (100 + i, f"Prose.\n\n{text}\n\nMore.")]
+            want |= {(i, "document", 0, spdx), (100 + i, "run", 1, spdx)}
+    rows = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.scope, r.place, r.license) for r in rows if r.scope in ("document", "run")} == want
+    headers = [text.replace("\n", "\n\n") for _, text in licenses.FURTHER[2:]]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(headers)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in rows if r.scope == "document"} == {(i, spdx) for i, (spdx, _) in enumerate(licenses.FURTHER[2:])}
+
+
 def test_op7_lines(spark, docs, empty):
     long = prose(11, 90).split()
     near = " ".join([*long[:40], "changed", *long[41:]])
