@@ -179,11 +179,11 @@ def _filler(avail: np.ndarray, gap: int) -> list[int] | None:
     for a in np.flatnonzero(avail[: gap - 1])[::-1]:
         if 3 * a < gap:
             return None
+        avail[a] -= 1
         two = pair(gap - int(a), min(int(a), gap - int(a) - 1))
+        avail[a] += 1
         if two:
-            need = [int(a), *two]
-            if all(avail[x] >= need.count(x) for x in need):
-                return need
+            return [int(a), *two]
     return None
 
 

@@ -235,6 +235,12 @@ def test_op5_plan_uses_every_piece():
     assert packing.plan_packing({}, 2048).sequences == 0
 
 
+def test_op5_triple_with_one_of_the_longest():
+    avail = np.zeros(101, np.int64)
+    avail[[40, 35, 25, 20]] = 1
+    assert packing._filler(avail, 100) == [40, 35, 25] and avail.sum() == 4
+
+
 def test_op6_licenses(spark, docs, empty):
     mit = licenses.TEXTS["MIT"].replace("\n", "\n\n").replace("MIT License", "MIT License\n\nCopyright (c) 2020 Someone")
     texts = [(1, mit.upper()), (2, "Prose.\nReleased under the MIT Licence!\nMore"), (3, "licensed under the apache license, v2.0"), (4, "A talk about the MIT License and others"), (5, None), (6, "x\n\nSPDX-License-Identifier: GPL-3.0\n\ny"), (7, "Copyright 2021 A\n" + licenses.TEXTS["BSD-2-Clause"])]
