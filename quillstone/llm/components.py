@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Rows of a key up to which all pairs across components are made directly.
-SMALL = 24
+#: Rows of a key above which link_by_keys lets ``refine`` part it.
+LARGE = 256
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -47,78 +47,114 @@ def _stars(e: DataFrame) -> bool:
 
 
 def link_by_keys(
-    keys: DataFrame | list[DataFrame],
+    parts: list[DataFrame],
     nodes: DataFrame,
     near: Callable[[str, str], Column],
     prepare: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
+    beyond: Callable[[DataFrame, DataFrame], DataFrame],
     scratch: Scratch,
     name: str,
-    differ: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     rounds: int = 1,
+    refine: list[Callable[[DataFrame], DataFrame]] | None = None,
+    first: DataFrame | None = None,
 ) -> DataFrame:
-    """Components under all verified links between rows of ``keys(key, node)`` that share a key.
+    """Components under all verified links between rows of ``parts``, tables of
+    ``key, node``, that share a key, and between the candidate pairs ``first(a, b)``.
 
-    A node has each of its keys once. A list of tables of keys, with no key in two of them, is
-    counted one table after the other, so that only one lies in shuffle files. ``near(a, b)`` is a cheap necessary condition on
-    the columns of two aliases of ``nodes(node, ...)``, ``prepare(nodes)`` gives the contents
-    of nodes, and ``verify(pairs(a, b), contents)`` returns those pairs that are links.
+    A node has each of its keys once, and no key is in two parts; they are counted one
+    after the other, so that only one lies in shuffle files. ``near(a, b)`` is a cheap
+    necessary condition on the columns of two aliases of ``nodes(node, ...)``, ``prepare(nodes)``
+    gives the contents of nodes, and ``verify(pairs(a, b), contents)`` returns those pairs
+    that are links.
 
     First each row of a key is paired with one hub only, the row that shares the most
     keys with others; that links most of a group of copies by a number of pairs linear
     in it. Each further round takes the hub among the rows still apart from the first
-    hub's component. Then rows that are still apart are paired with all rows of the key
-    in another component: directly in keys of SMALL rows at most, and through the
-    elements in which they differ from the hub (see _by_difference) beyond, if ``differ``
-    is given. Pairs left out lie within one component or cannot be links, so no
-    component is lost.
+    hub's component. Keys in which rows are still apart then go to ``beyond(rows, contents)``,
+    which gives the candidate pairs that are left. If there is a further step of ``refine``,
+    keys of more than LARGE rows go there instead: ``refine[i](rows)`` gives the rows ``key,
+    node, ...`` with finer keys, in which the rounds start again, so that no step makes
+    more pairs than rows times LARGE but the last, in keys that all steps left large.
     """
     others = [c for c in nodes.columns if c != "node"]
-    parts = keys if isinstance(keys, list) else [keys]
     shared = None
     for i, part in enumerate(parts):
         sizes = part.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-        some = scratch.write(part.join(sizes, "key"), f"{name}-shared-{i}", free=True)
+        some = scratch.write(part.join(sizes.hint("shuffle_hash"), "key"), f"{name}-shared-{i}", free=True)
         shared = shared.union(some) if i else some
-    contents = scratch.write(prepare(shared.select("node").distinct()), f"{name}-contents", free=True)
+    wanted = shared.select("node")
+    if first:
+        wanted = wanted.union(first.select("a")).union(first.select("b"))
+    contents = scratch.write(prepare(wanted.distinct()), f"{name}-contents", free=True)
     degree = shared.groupBy("node").agg(F.sum("m").alias("degree")).join(nodes, "node")
-    rows = scratch.write(shared.join(degree, "node").withColumn("comp", F.col("node")), f"{name}-rows", free=True)
+    rows = scratch.write(shared.join(degree, "node"), f"{name}-rows", free=True)
     scratch.drop(*[f"{name}-shared-{i}" for i in range(len(parts))])
 
-    body = ["node", "comp", *others]
     tested = links = comp = None
-    for r in range(rounds):
-        fresh = rows if r == 0 else rows.filter("comp <> hub_comp")
-        hubs = fresh.groupBy("key").agg(F.max(F.struct("degree", "node", "comp", *others)).alias("x"))
-        stars = rows.join(hubs, "key").select("x", F.struct(*body).alias("y")).filter((F.col("x.comp") != F.col("y.comp")) & near("x", "y"))
-        pairs = stars.select(*_pair()).distinct()
-        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if r else pairs, f"{name}-pairs-{r}")
-        tested = tested.union(pairs) if r else pairs
-        found = scratch.write(verify(pairs, contents), f"{name}-links-{r}", free=True)
-        links = links.union(found) if r else found
-        comp = scratch.write(components(links, scratch, f"{name}-c{r}"), f"{name}-comp-{r}")
-        if r == 0:
-            rows = rows.join(hubs.select("key", F.col("x.node").alias("hub")), "key")
-        hub_comp = comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-        rows = rows.drop("comp", "hub_comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        rows = rows.join(hub_comp, "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
-        open_keys = rows.filter("comp <> hub_comp").select("key").distinct()
-        rows = scratch.write(rows.join(open_keys, "key", "left_semi"), f"{name}-rows-{r}")
-        scratch.drop(f"{name}-rows" if r == 0 else f"{name}-rows-{r - 1}")
-
-    rows = rows.filter("node <> hub")
-    small = rows.filter(F.col("m") <= SMALL) if differ else rows
-    x = small.filter("comp <> hub_comp").select("key", F.struct(*body).alias("x"))
-    y = small.select("key", F.struct(*body, "hub_comp").alias("y"))
-    more = x.join(y, "key").filter(_once() & near("x", "y")).select(*_pair()).distinct()
-    if differ:
-        big = rows.filter(F.col("m") > SMALL).drop("key", "m", "degree").dropDuplicates(["hub", "node"])
-        more = more.union(_by_difference(big, near, lambda pairs: differ(pairs, contents), scratch, name)).distinct()
-    more = scratch.write(more.join(tested, ["a", "b"], "left_anti"), f"{name}-more")
-    second = scratch.write(verify(more, contents), f"{name}-more-links", free=True)
-    if not second.isEmpty():
-        comp = scratch.write(components(links.union(second), scratch, f"{name}-d"), f"{name}-comp")
-    scratch.drop(f"{name}-contents", f"{name}-differences", f"{name}-more", f"{name}-rows-{rounds - 1}")
+
+    def test(pairs: DataFrame, step: str) -> None:
+        """Verify the pairs not tested yet, and find the components anew if there are links."""
+        nonlocal tested, links, comp
+        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, f"{name}-pairs-{step}")
+        if tested and pairs.isEmpty():
+            return
+        tested = tested.union(pairs) if tested else pairs
+        found = scratch.write(verify(pairs, contents), f"{name}-links-{step}", free=True)
+        links = links.union(found) if links else found
+        if comp is None or not found.isEmpty():
+            comp = scratch.write(components(links, scratch, f"{name}-c-{step}"), f"{name}-comp-{step}")
+
+    written = [f"{name}-rows"]
+
+    def keep(df: DataFrame, step: str) -> DataFrame:
+        """The rows as the next table, in place of the last one."""
+        out = scratch.write(df, f"{name}-rows-{step}")
+        scratch.drop(written.pop())
+        written.append(f"{name}-rows-{step}")
+        return out
+
+    if first:
+        # one pair for each node links most; then those that are still apart
+        test(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+        left = first.join(comp.toDF("a", "x"), "a", "left").join(comp.toDF("b", "y"), "b", "left")
+        test(left.filter(~F.coalesce(F.col("x") == F.col("y"), F.lit(False))).select("a", "b"), "second")
+        if rows.isEmpty():
+            scratch.drop(*written)
+            return comp
+        rows = keep(rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "first")
+    else:
+        rows = rows.withColumn("comp", F.col("node"))
+    body = ["node", "comp", *others]
+    steps = refine or []
+    for depth in range(len(steps) + 1):
+        for r in range(rounds):
+            fresh = rows.filter("comp <> hub_comp") if r else rows
+            hubs = fresh.groupBy("key").agg(F.max(F.struct("degree", *body)).alias("x"))
+            stars = rows.join(hubs, "key").select("x", F.struct(*body).alias("y")).filter((F.col("x.comp") != F.col("y.comp")) & near("x", "y"))
+            test(stars.select(*_pair()).distinct(), f"{depth}-{r}")
+            if r == 0:
+                rows = rows.join(hubs.select("key", F.col("x.node").alias("hub")), "key")
+            hub_comp = comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+            rows = rows.drop("comp", "hub_comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            rows = rows.join(hub_comp, "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
+            apart = rows.filter("comp <> hub_comp").select("key").distinct()
+            rows = keep(rows.join(apart, "key", "left_semi"), f"{depth}-{r}")
+        rows = rows.filter("node <> hub")
+        apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        rows = keep(rows.join(apart, "key", "left_semi"), f"{depth}-open")
+        if depth == len(steps):
+            test(beyond(rows, contents), f"{depth}-rest")
+            break
+        test(beyond(rows.filter(F.col("m") <= LARGE), contents), f"{depth}-rest")
+        large = rows.filter(F.col("m") > LARGE)
+        if large.isEmpty():
+            break
+        finer = steps[depth](large.select("key", "node", "degree", *others))
+        sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        rows = finer.join(sizes, "key").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rows = keep(rows, f"{depth}-finer")
+    scratch.drop(f"{name}-differences", *written)
     return comp
 
 
@@ -132,9 +168,17 @@ def _pair() -> list[Column]:
     return [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
 
 
-def _by_difference(
+def within_keys(rows: DataFrame, near: Callable[[str, str], Column], others: list[str]) -> DataFrame:
+    """Candidate pairs of which one row at least is apart from its key's hub."""
+    x = rows.filter("comp <> hub_comp").select("key", F.struct("node", "comp", *others).alias("x"))
+    y = rows.select("key", F.struct("node", "comp", "hub_comp", *others).alias("y"))
+    return x.join(y, "key").filter(_once() & near("x", "y")).select(*_pair()).distinct()
+
+
+def by_difference(
     rows: DataFrame,
     near: Callable[[str, str], Column],
+    others: list[str],
     differ: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
     name: str,
@@ -152,30 +196,24 @@ def _by_difference(
 
     ``differ(pairs(hub, node))`` gives ``hub, node, least_x, least_y, allow, size, diff``: the
     two numbers of common elements above, whole, r |x|, |D|, and the first of D: what the
-    hub lacks, then what it has alone, each in order of the elements.
+    hub lacks, then what it has alone, each in order of the elements. The rows' own columns
+    join the whole differences, which are parted into elements only after that.
     """
     apart = F.col("comp") != F.col("hub_comp")
-    open_hubs = rows.filter(apart).select("hub").distinct()
-    rows = rows.join(open_hubs, "hub", "left_semi")
-    found = scratch.write(differ(rows.select("hub", "node")), f"{name}-differences", free=True)
-    ranked = found.select("hub", "node", "least_x", "least_y", "allow", "size", F.posexplode("diff").alias("place", "e"))
-    ranked = ranked.withColumn("place", F.col("place") + 1)
-    others = [c for c in rows.columns if c not in ("hub", "node")]
-    told = ranked.join(rows, ["hub", "node"])
-    row = F.struct("node", "allow", "size", (F.col("size") - F.col("place")).alias("rest"), *others)
-
-    def among(least: str) -> Column:
-        return F.col("place") <= F.col("size") + 1 - F.col(least)
+    rows = rows.select("hub", "node", "comp", "hub_comp", *others).dropDuplicates(["hub", "node"])
+    rows = rows.join(rows.filter(apart).select("hub").distinct(), "hub", "left_semi")
+    found = scratch.write(differ(rows.select("hub", "node")).join(rows, ["hub", "node"]), f"{name}-differences", free=True)
+    row = F.struct("node", "comp", "hub_comp", "allow", "size", (F.col("size") - F.col("place")).alias("rest"), *others)
+
+    def first(least: str, of: Column, side: str) -> DataFrame:
+        """The elements of each row's prefix, with their places from 1."""
+        prefix = F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("size") + 1 - F.col(least)))
+        at = found.filter(of).select("*", F.posexplode(prefix).alias("place", "e")).withColumn("place", F.col("place") + 1)
+        return at.select("hub", "e", row.alias(side))
 
     needed = (F.col("x.size") + F.col("y.size") - F.col("x.allow") - F.col("y.allow")) / 2
     enough = 1 + F.least("x.rest", "y.rest") >= needed - 1e-6
-    either = [
-        (told.filter(apart & among("least_x")), told.filter(~apart & among("least_y"))),
-        (told.filter(apart & among("least_y")), told.filter(apart & among("least_y"))),
-    ]
-    pairs = None
-    for left, right in either:
-        met = left.select("hub", "e", row.alias("x")).join(right.select("hub", "e", row.alias("y")), ["hub", "e"])
-        met = met.filter(_once() & enough & near("x", "y")).select(*_pair())
-        pairs = pairs.union(met) if pairs is not None else met
-    return pairs.distinct()
+    to_linked = first("least_x", apart, "x").join(first("least_y", ~apart, "y"), ["hub", "e"])
+    among_apart = first("least_y", apart, "x").join(first("least_y", apart, "y"), ["hub", "e"])
+    pairs = [met.filter(_once() & enough & near("x", "y")).select(*_pair()) for met in (to_linked, among_apart)]
+    return pairs[0].union(pairs[1]).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import Scratch
-from .components import link_by_keys
+from .components import by_difference, link_by_keys
 
 #: A signature has CHUNKS chunks of WIDTH symbols of BITS bits. Two signatures that
 #: differ in at most CHUNKS * (ERRORS + 1) - 1 symbols have a chunk that differs in at
@@ -84,27 +84,29 @@ def _planes(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(((sig >> np.uint64(k) & one) << place).sum(axis=1, dtype=np.uint64) for k in (0, 1))
 
 
-def _digest(hashes: np.ndarray) -> int:
-    return int.from_bytes(blake2b(hashes.tobytes(), digest_size=8).digest(), "big", signed=True)
+def _digest(hashes: np.ndarray) -> bytes:
+    return blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: ``id, n`` (set size), ``node`` (64-bit digest of the whole set), ``sig``."""
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """Per row of ``docs(id, text, own)``: ``id, own, n`` (set size), ``digest`` (16 bytes, of the
+    whole set), ``sig``."""
 
     def run(batches):
         for b in batches:
-            n, node, sig = [], [], []
-            for t in b.column(1).to_pylist():
+            n, digest, sig = [], [], []
+            for t in b.column(2).to_pylist():
                 h = shingle_hashes(t, words)
                 n.append(len(h))
-                node.append(_digest(h) if len(h) else None)
+                digest.append(_digest(h) if len(h) else None)
                 sig.append(signature(h).astype("<u2").tobytes() if len(h) else None)
             yield pa.record_batch(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "node", "sig"]
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
+                names=["id", "own", "n", "digest", "sig"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, node long, sig binary")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "own", "text").mapInArrow(run, f"id {kind}, own long, n long, digest binary, sig binary")
 
 
 def _symbols(column) -> np.ndarray:
@@ -155,14 +157,14 @@ def near_duplicates(
     empty table gives no rows. Other columns are ignored. Below a percent of 80 the
     index finds fewer links than the figures above say.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    rows = scratch.write(signatures(docs, words, id_col, text_col), "signatures")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"))
-    full = scratch.write(
-        rows.filter("n > 0").alias("r").join(nodes.alias("s"), (F.col("r.node") == F.col("s.node")) & F.col("r.id").eqNullSafe(F.col("s.id"))).select("r.*").dropDuplicates(["node"]),
-        "nodes",
+    scratch = Scratch(docs.sparkSession, "minhash")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own"))
+    rows = scratch.write(signatures(texts, words), "signatures")
+    # equal digests have equal sets, so that any row's size and signature will do
+    full = rows.filter("n > 0").groupBy("digest").agg(
+        F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("own", "id")).alias("at"), F.min("id").alias("least")
     )
+    full = scratch.write(full.select("digest", "n", "sig", "at.own", "at.id", "least", F.monotonically_increasing_id().alias("node")), "nodes", free=True)
 
     def near(a: str, b: str):
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -171,18 +173,21 @@ def near_duplicates(
 
     def prepare(wanted: DataFrame) -> DataFrame:
         """``node, h``: the sorted hashes of each node's set, from one of its documents."""
-        ids = full.join(wanted, "node").select("id", "node")
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id")
+        at = full.select("node", "digest", "own", "id").join(wanted, "node", "left_semi").alias("w")
+        found = texts.alias("t").join(at, (F.col("t.own") == F.col("w.own")) & F.col("t.id").eqNullSafe(F.col("w.id")))
 
         def sets(batches):
+            seen = set()  # copies of a row meet in a task, and one of them is enough
             for b in batches:
-                h = [shingle_hashes(t, words) for t in b.column(1).to_pylist()]
-                own = [_digest(x) for x in h]
-                right = [i for i, (x, node) in enumerate(zip(own, b.column(0).to_pylist(), strict=True)) if x == node]
-                data = pa.array([h[i].tobytes() for i in right], pa.binary())
-                yield pa.record_batch([b.column(0).take(pa.array(right, pa.int32())), data], names=["node", "h"])
+                node, h = [], []
+                for x, digest, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    if x not in seen and len(found := shingle_hashes(t, words)) and _digest(found) == digest:
+                        seen.add(x)
+                        node.append(x)
+                        h.append(found.tobytes())
+                yield pa.record_batch([pa.array(node, pa.int64()), pa.array(h, pa.binary())], names=["node", "h"])
 
-        return texts.select("node", "text").mapInArrow(sets, "node long, h binary")
+        return found.select("node", "digest", "text").mapInArrow(sets, "node long, h binary")
 
     def both(pairs: DataFrame, known: DataFrame, a: str, b: str) -> DataFrame:
         pairs = pairs.join(known.select(F.col("node").alias(b), F.col("h").alias("hb")), b)
@@ -231,11 +236,15 @@ def near_duplicates(
 
         return both(pairs, known, "hub", "node").mapInArrow(sides, "hub long, node long, least_x int, least_y int, allow double, size int, diff array<long>")
 
-    comp = link_by_keys(_keys(full), sketches(full), near, prepare, verify, scratch, "near", differ)
-    of_node = full.select("node", "id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = of_node.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = scratch.write(of_node.join(smallest, "comp").select("node", "component_id"), "named")
-    out = rows.select("id", "n", "node").join(named, "node", "left")
+    def beyond(open_rows: DataFrame, known: DataFrame) -> DataFrame:
+        return by_difference(open_rows, near, ["n", "p", "q"], lambda pairs: differ(pairs, known), scratch, "near")
+
+    comp = link_by_keys([_keys(full)], sketches(full), near, prepare, verify, beyond, scratch, "near")
+    of_node = full.select("node", "digest", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    scratch.drop("near-contents")
+    smallest = of_node.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = scratch.write(of_node.join(smallest, "comp").select("digest", "component_id"), "named")
+    out = rows.select("id", "n", "digest").join(named, "digest", "left")
     group = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias(id_col),
