@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch
 
 #: Rows of a key above which link_by_keys lets ``refine`` part it.
 LARGE = 256
+#: Rows of a hub whose sets make its reference; any reference finds all pairs.
+SAMPLED = 15
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -154,7 +157,7 @@ def link_by_keys(
         sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
         rows = finer.join(sizes, "key").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         rows = keep(rows, f"{depth}-finer")
-    scratch.drop(f"{name}-differences", *written)
+    scratch.drop(f"{name}-apart", f"{name}-references", f"{name}-differences", *written)
     return comp
 
 
@@ -179,41 +182,57 @@ def by_difference(
     rows: DataFrame,
     near: Callable[[str, str], Column],
     others: list[str],
-    differ: Callable[[DataFrame], DataFrame],
+    refer: Callable[[DataFrame], DataFrame],
+    differ: Callable[[DataFrame, DataFrame], DataFrame],
     scratch: Scratch,
     name: str,
 ) -> DataFrame:
-    """Candidate pairs of rows with a common hub, of which one at least is not linked to it.
-
-    With D(x) the elements in which x and the hub h differ, x and y differ in
-    |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, and a link allows r (|x| + |y|) of them. As
-    x is not linked to h, |D(x)| > r (|x| + |h|), so linked x and y have at least
-    |D(y)| / 2 + r (|h| - |y|) / 2 elements of D in common, and at least
-    (|D(x)| - r (|x| + |h|)) / 2. By the prefix principle they share one among the first
-    |D| + 1 less that number of each, in one order of a hub's elements, and rows meet there only: what copies changed
-    each for itself is rare and never meets. Where they meet first, what is left of
-    both must still hold the common elements that the pair needs.
-
-    ``differ(pairs(hub, node))`` gives ``hub, node, least_x, least_y, allow, size, diff``: the
-    two numbers of common elements above, whole, r |x|, |D|, and the first of D: what the
-    hub lacks, then what it has alone, each in order of the elements. The rows' own columns
-    join the whole differences, which are parted into elements only after that.
+    """Candidate pairs of rows with a common hub, of which one at least is apart from it.
+
+    Take any set R as the hub's reference, let D(x) be the elements in which x and R
+    differ and s(x) = |D(x)| - r |x|, where a link of x and y allows them to differ in
+    r (|x| + |y|) elements. x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements. So
+
+    - if s(x) + s(y) <= 0 they are linked, whatever they hold. Then both are linked with
+      the row of the least s too, and pairs with that row are enough;
+    - else linked rows have (s(x) + s(y)) / 2 elements of D in common. If what x and y hold
+      beside R is more than they may differ in, it must have a common element already,
+      and they meet by that alone. If not, by the prefix principle they share one among
+      the first |D| + 1 less the common number, with the hub's least s for the other's.
+      Where they meet first, what is left of both must still hold the common elements
+      that the pair needs.
+
+    R holds what most of SAMPLED rows of the hub hold, so that D is what each row has
+    changed for itself, and rows rarely meet. ``refer(sample(hub, node))`` gives ``hub, reference``,
+    ``differ(pairs(hub, node), references)`` gives ``hub, node, slack, size, own, diff``: s, |D|, how
+    many of D are not in R, and D, those first, each in order of the elements, as far as any
+    prefix goes. The rows' own columns join the whole differences, which are parted into
+    elements only after that.
     """
     apart = F.col("comp") != F.col("hub_comp")
     rows = rows.select("hub", "node", "comp", "hub_comp", *others).dropDuplicates(["hub", "node"])
-    rows = rows.join(rows.filter(apart).select("hub").distinct(), "hub", "left_semi")
-    found = scratch.write(differ(rows.select("hub", "node")).join(rows, ["hub", "node"]), f"{name}-differences", free=True)
-    row = F.struct("node", "comp", "hub_comp", "allow", "size", (F.col("size") - F.col("place")).alias("rest"), *others)
-
-    def first(least: str, of: Column, side: str) -> DataFrame:
-        """The elements of each row's prefix, with their places from 1."""
-        prefix = F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("size") + 1 - F.col(least)))
-        at = found.filter(of).select("*", F.posexplode(prefix).alias("place", "e")).withColumn("place", F.col("place") + 1)
-        return at.select("hub", "e", row.alias(side))
-
-    needed = (F.col("x.size") + F.col("y.size") - F.col("x.allow") - F.col("y.allow")) / 2
-    enough = 1 + F.least("x.rest", "y.rest") >= needed - 1e-6
-    to_linked = first("least_x", apart, "x").join(first("least_y", ~apart, "y"), ["hub", "e"])
-    among_apart = first("least_y", apart, "x").join(first("least_y", apart, "y"), ["hub", "e"])
-    pairs = [met.filter(_once() & enough & near("x", "y")).select(*_pair()) for met in (to_linked, among_apart)]
-    return pairs[0].union(pairs[1]).distinct()
+    rows = scratch.write(rows.join(rows.filter(apart).select("hub").distinct(), "hub", "left_semi"), f"{name}-apart")
+    nth = F.row_number().over(Window.partitionBy("hub").orderBy(F.xxhash64("node"), "node"))
+    sample = rows.select("hub", "node").withColumn("nth", nth).filter(F.col("nth") <= SAMPLED).drop("nth")
+    references = scratch.write(refer(sample), f"{name}-references")
+    found = scratch.write(differ(rows.select("hub", "node"), references).join(rows, ["hub", "node"]), f"{name}-differences", free=True)
+    best = found.groupBy("hub").agg(F.min(F.struct("slack", "node", "comp")).alias("best"))
+    found = found.join(best, "hub")
+    room = F.col("slack") + F.col("best.slack")
+    star = found.filter((room <= 1e-6) & (F.col("comp") != F.col("best.comp")))
+    star = star.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b"))
+
+    def meeting(many: Column, column: str, more: Column) -> DataFrame:
+        """Pairs by the first elements of D, of which the pair needs as many as ``column`` counts
+        beyond half of what a link allows."""
+        at = found.select("*", F.posexplode(F.slice("diff", F.lit(1), many.cast("int"))).alias("place", "e"))
+        row = F.struct("node", "comp", "hub_comp", "own", "size", (F.col("size") - F.col("slack")).alias("allow"), (F.col(column) - F.col("place")).alias("rest"), *others)
+        met = at.filter(apart).select("hub", "e", row.alias("x")).join(at.select("hub", "e", row.alias("y")), ["hub", "e"])
+        return met.filter(_once() & more & (F.least("x.rest", "y.rest") >= beyond(column)) & near("x", "y")).select(*_pair())
+
+    def beyond(column: str) -> Column:
+        return (F.col(f"x.{column}") + F.col(f"y.{column}") - F.col("x.allow") - F.col("y.allow")) / 2 - 1e-6
+
+    by_own = meeting(F.col("own"), "own", beyond("own") > 0)
+    by_all = meeting(F.col("size") + 1 - F.greatest(F.lit(1), F.ceil(room / 2 - 1e-6)), "size", beyond("own") <= 0)
+    return star.union(by_own).union(by_all).distinct()

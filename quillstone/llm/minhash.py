@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from hashlib import blake2b
 
 import numpy as np
@@ -189,55 +190,57 @@ def near_duplicates(
 
         return found.select("node", "digest", "text").mapInArrow(sets, "node long, h binary")
 
-    def both(pairs: DataFrame, known: DataFrame, a: str, b: str) -> DataFrame:
-        pairs = pairs.join(known.select(F.col("node").alias(b), F.col("h").alias("hb")), b)
-        return pairs.join(known.select(F.col("node").alias(a), F.col("h").alias("ha")), a).select(a, b, "ha", "hb")
-
-    def common(u: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both sets, and which elements of the first the second has."""
-        u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-        return u, v, v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u
-
     def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
         def confirm(batches):
             for b in batches:
                 keep = []
                 for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                    u, v, shared = common(x, y)
-                    n = int(shared.sum())
+                    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    n = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
                     if 100 * n >= percent * (len(u) + len(v) - n):
                         keep.append(i)
                 took = pa.array(keep, pa.int32())
                 yield pa.record_batch([b.column(0).take(took), b.column(1).take(took)], names=["a", "b"])
 
-        return both(pairs, known, "a", "b").mapInArrow(confirm, "a long, b long").distinct()
+        both = pairs.join(known.toDF("b", "hb"), "b").join(known.toDF("a", "ha"), "a").select("a", "b", "ha", "hb")
+        return both.mapInArrow(confirm, "a long, b long").distinct()
+
+    def refer(sample: DataFrame, known: DataFrame) -> DataFrame:
+        def majority(rows: pa.Table) -> pa.Table:
+            each = [np.frombuffer(x, np.uint64) for x in rows["h"].to_pylist()]
+            element, n = np.unique(np.concatenate(each), return_counts=True)
+            return pa.table({"hub": rows["hub"][:1], "reference": [element[2 * n > len(each)].tobytes()]})
+
+        return sample.join(known, "node").select("hub", "h").groupBy("hub").applyInArrow(majority, "hub long, reference binary")
+
+    def differ(pairs: DataFrame, references: DataFrame, known: DataFrame) -> DataFrame:
+        share = (100 - percent) / (100 + percent)
 
-    def differ(pairs: DataFrame, known: DataFrame) -> DataFrame:
         def sides(batches):
             for b in batches:
-                x_least, y_least, allow, size, diff = [], [], [], [], []
+                slack, size, alone, diff = [], [], [], []
                 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    h, v, shared = common(x, y)
-                    own = v[~np.isin(v, h, assume_unique=True)]
-                    d = np.concatenate([own, h[~shared]])  # what the hub lacks is rarer
-                    # 100 + percent times each bound, rounded down to whole elements
-                    room = 100 + percent
-                    apart = (room * len(d) - (100 - percent) * (len(v) + len(h))) // (2 * room)
-                    half = (room * len(d) + (100 - percent) * (len(h) - len(v))) // (2 * room)
-                    x_least.append(max(1, apart))
-                    y_least.append(max(1, half))
-                    allow.append((100 - percent) * len(v) / room)
+                    own, reference = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    beside = np.setdiff1d(own, reference, assume_unique=True)
+                    d = np.concatenate([beside, np.setdiff1d(reference, own, assume_unique=True)])
+                    s = len(d) - share * len(own)
+                    # a link's other row has at most 100 / percent times the elements
+                    least = s - share * len(own) * 100 / percent
+                    slack.append(s)
                     size.append(len(d))
-                    diff.append(d[: len(d) + 1 - min(x_least[-1], y_least[-1])].view(np.int64))
+                    alone.append(len(beside))
+                    diff.append(d[: max(len(beside), len(d) + 1 - max(1, math.ceil(least / 2 - 1e-6)))].view(np.int64))
                 yield pa.record_batch(
-                    [b.column(0), b.column(1), pa.array(x_least, pa.int32()), pa.array(y_least, pa.int32()), pa.array(allow, pa.float64()), pa.array(size, pa.int32()), pa.array(diff, pa.list_(pa.int64()))],
-                    names=["hub", "node", "least_x", "least_y", "allow", "size", "diff"],
+                    [b.column(0), b.column(1), pa.array(slack, pa.float64()), pa.array(size, pa.int32()), pa.array(alone, pa.int32()), pa.array(diff, pa.list_(pa.int64()))],
+                    names=["hub", "node", "slack", "size", "own", "diff"],
                 )
 
-        return both(pairs, known, "hub", "node").mapInArrow(sides, "hub long, node long, least_x int, least_y int, allow double, size int, diff array<long>")
+        both = pairs.join(known, "node").join(references, "hub").select("hub", "node", "h", "reference")
+        return both.mapInArrow(sides, "hub long, node long, slack double, size int, own int, diff array<long>")
 
     def beyond(open_rows: DataFrame, known: DataFrame) -> DataFrame:
-        return by_difference(open_rows, near, ["n", "p", "q"], lambda pairs: differ(pairs, known), scratch, "near")
+        told = (lambda sample: refer(sample, known)), (lambda pairs, references: differ(pairs, references, known))
+        return by_difference(open_rows, near, ["n", "p", "q"], *told, scratch, "near")
 
     comp = link_by_keys([_keys(full)], sketches(full), near, prepare, verify, beyond, scratch, "near")
     of_node = full.select("node", "digest", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
