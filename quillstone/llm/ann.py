@@ -182,17 +182,16 @@ def nearest(
 
     Columns: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; ties go to the smaller
     id. Rows with null ids, vectors that are null, empty, zero or hold a null or
-    non-finite component, or of another dimension than most take no part. Equal
-    vectors are one candidate with its k + 1 smallest ids, as no further one can be
-    among the k best. Rows that repeat an id are candidates each; as a query the id
-    asks once, with the smallest of its vectors. A query whose leaves hold fewer than
+    non-finite component, or of another dimension than most take no part. Rows that
+    repeat an id are candidates each, but for queries of that id; as a query the id asks
+    once, with the smallest of its vectors. A query whose leaves hold fewer than
     k others visits them all, so fewer candidates than k give all. An empty table
     gives no rows. Other columns are ignored.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "ann")
     vectors = most_common_dimension(scratch.write(usable_vectors(rows, id_col, vector_col), "vectors"))
-    candidates = scratch.write(first_of_alike(vectors, k + 1), "candidates")
+    candidates = scratch.write(first_of_alike(vectors, k), "candidates")
     queries = scratch.write(vectors.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), "queries")
 
     def first(table: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +236,8 @@ def nearest(
             took = pa.array(at, pa.int32())
             yield pa.record_batch([b.column(0).take(took), b.column(1).take(took), pa.array(leaf, pa.int64())], names=["id", "v", "leaf"])
 
-    asked = scratch.write(queries.select("id", "v").mapInArrow(plan, "id long, v array<double>, leaf long"), "asked")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-queries.count() // QUERIES))
+    asked = scratch.write(queries.select("id", "v").repartition(tasks, "id").mapInArrow(plan, "id long, v array<double>, leaf long"), "asked")
     askers = {r.leaf: r.n for r in asked.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     shape = [(x, -(-n // PART), -(-askers.get(x, 0) // QUERIES)) for x, n in held.items()]
     shape = F.broadcast(spark.createDataFrame(shape, "leaf long, parts long, blocks long").filter("blocks > 0"))

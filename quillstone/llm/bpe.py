@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 #: Byte b is spelled as the character U+0100 + b: a letter, never white space.
 SHIFT = 0x100
 _TO_CHARS = {b: SHIFT + b for b in range(256)}
-#: Entries of a worker's table of segments already encoded. Beyond it, segments are
-#: encoded afresh each batch; results don't depend on it.
-MEMO = 250_000
+#: Bytes that a worker's table of segments already encoded may take, about. Beyond it, segments
+#: are encoded afresh each batch, as those of more than LONG characters always are;
+#: results don't depend on it.
+MEMO_BYTES, ENTRY_BYTES, LONG = 96 << 20, 250, 64
 
 _NORMAL, _UNKNOWN, _BPE = 1, 2, 2
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
@@ -63,12 +64,19 @@ class _Memo(dict):
 
     def __init__(self) -> None:
         self.spare: dict = {}
+        self.room = MEMO_BYTES
 
     def __missing__(self, key):
         return self.spare[key]
 
     def keep(self, found: dict) -> None:
-        (self if len(self) < MEMO else self.spare).update(found)
+        for segment, ids in found.items():
+            size = ENTRY_BYTES + len(segment) + 36 * len(ids)
+            if len(segment) <= LONG and size <= self.room:
+                self.room -= size
+                self[segment] = ids
+            else:
+                self.spare[segment] = ids
 
 
 class ByteBPE:

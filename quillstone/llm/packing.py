@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,22 +16,40 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, prefix_counts
 
-#: Entries of each of a worker's two tables of tokenized strings; results don't depend on it.
-MEMO = 200_000
+#: Bytes that each of a worker's two tables of tokenized strings may take; results don't
+#: depend on it.
+MEMO_BYTES = 64 << 20
+#: What an entry takes beside its characters, about.
+ENTRY_BYTES = 200
 #: Rows of one length that one window sorts.
 PER_RANGE = 256
 MAX_RANGES = 65536
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Settings of a tokenizer file for which texts may be cut as WordTokenizer does.
+WORD_SETTINGS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 class WordTokenizer:
     """Ids of whole texts by a `tokenizers` file, through tables of strings seen before.
 
-    The file's pre-tokenizer drops white space and never joins what it parts, so a text
-    is encoded run by run of non-space characters. Runs of plain printable characters
-    below U+0250 (where lower-casing and composition are per character) are cut by the
-    file's own pattern, and new words are encoded many to a call; the token that ends a
-    word shows where the next one starts. Other runs go to the library as they are.
+    With WORD_SETTINGS the file's pre-tokenizer drops white space and never joins what it
+    parts, so a text is encoded run by run of non-space characters. Runs of plain
+    printable characters below U+0250 (where lower-casing and composition are per
+    character) are cut by the file's own pattern, and new words are encoded many to a
+    call; the token that ends a word shows where the next one starts. Other runs go to
+    the library as they are, and with other settings whole texts do.
     """
 
     def __init__(self, path: str):
@@ -39,66 +58,87 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        own = [x["content"] for x in settings["added_tokens"]]
+        self.by_run = (
+            all(settings[k] == v for k, v in WORD_SETTINGS.items())
+            and settings["model"].get("end_of_word_suffix") == "</w>"
+            and all(x.startswith("<|") for x in own)
+            and not settings["truncation"] and not settings["padding"]
+        )
         self.find = regex.compile(WORD_PATTERN).findall
-        self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.runs: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _plain(self, run: str) -> bool:
-        return run.isascii() and run.isprintable() and "<|" not in run or (
-            run.isprintable() and max(run) < "ɐ" and "İ" not in run and "<|" not in run
-        )
+        self.words: dict[bytes, bytes] = {}
+        self.room = {"runs": MEMO_BYTES, "words": MEMO_BYTES}
 
     def _encode(self, strings: list[str]):
-        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
+    def _learn_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
         blocks = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for block, ids in zip(blocks, self._encode([" ".join(b) for b in blocks]), strict=True):
-            ends = self.ends
-            cuts = [0, *(i + 1 for i, x in enumerate(ids) if x in ends)]
-            if len(cuts) != len(block) + 1:  # a word that the library parts further
-                found.update(zip(block, (np.array(x, "<u4").tobytes() for x in self._encode(block)), strict=True))
-                continue
-            data = np.array(ids, "<u4").tobytes()
-            found.update((w, data[4 * a : 4 * b]) for w, a, b in zip(block, cuts, cuts[1:]))
+        for block, data in zip(blocks, self._encode([b" ".join(b).decode() for b in blocks]), strict=True):
+            cuts = np.flatnonzero(self.ends[np.frombuffer(data, "<u4")])
+            if len(cuts) != len(block):  # a word that the library parts further
+                found.update(zip(block, self._encode([w.decode() for w in block]), strict=True))
+            else:
+                cuts = [0, *(4 * cuts + 4).tolist()]
+                found.update(zip(block, [data[x:y] for x, y in pairwise(cuts)], strict=True))
         return found
 
     def _learn(self, runs: set[bytes]) -> dict[bytes, bytes]:
-        plain: dict[bytes, list[str]] = {}
+        letters = [r for r in runs if r.isalpha()]  # of ASCII
+        single = [r.lower() for r in letters]
+        plain: dict[bytes, list[bytes]] = {}
         other: list[bytes] = []
-        for r in runs:
-            s = r.decode()
-            if self._plain(s):
-                plain[r] = self.find(s.lower())
+        rest = [*runs.difference(letters)]
+        # no run holds a space, so all are decoded at once
+        for r, s in zip(rest, b" ".join(rest).decode().split(" ") if rest else [], strict=True):
+            if s.isprintable() and "<|" not in s and (s.isascii() or (max(s) < "\u0250" and "\u0130" not in s)):
+                low = s.lower()
+                plain[r] = [low.encode()] if s.isalpha() else [w.encode() for w in self.find(low)]
             else:
                 other.append(r)
-        new = sorted(set(chain.from_iterable(plain.values())) - self.words.keys())
-        words = self._learn_words(new)
-        if len(self.words) + len(words) > MEMO:
-            look = self.words | words
-        else:
-            self.words.update(words)
-            look = self.words
-        found = {r: b"".join([look[w] for w in ws]) for r, ws in plain.items()}
-        found.update(zip(other, (np.array(x, "<u4").tobytes() for x in self._encode([r.decode() for r in other])), strict=True))
+        new = {*single, *chain.from_iterable(plain.values())}
+        new -= self.words.keys()
+        words = self._learn_words(sorted(new))
+        self.words.update(words)
+        get = self.words.__getitem__
+        found = dict(zip(letters, map(get, single), strict=True))
+        found.update((r, b"".join(map(get, ws))) for r, ws in plain.items())
+        found.update(zip(other, self._encode([r.decode() for r in other]), strict=True))
+        self._forget("words", self.words, words)
         return found
 
+    def _forget(self, name: str, table: dict, new: dict) -> None:
+        """Take new entries out of a table again that has no room for them."""
+        if not new:
+            return
+        size = sum(map(len, new)) + sum(map(len, new.values())) + ENTRY_BYTES * len(new)
+        if size <= self.room[name]:
+            self.room[name] -= size
+        else:
+            for k in new:
+                del table[k]
+
     def encode_batch(self, texts: list[bytes]):
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        if not self.by_run:
+            for t in texts:
+                yield from self._encode([t.decode()])
+            return
         for at in range(0, len(texts), 512):
             parts = [t.split() for t in texts[at : at + 512]]
-            new = self._learn(set(chain.from_iterable(parts)) - self.runs.keys())
-            if len(self.runs) + len(new) <= MEMO:
-                self.runs.update(new)
-                new = {}
+            unknown = set().union(*parts)
+            unknown -= self.runs.keys()
+            new = self._learn(unknown) if unknown else {}
+            self.runs.update(new)
             for p in parts:
-                if new:
-                    runs = self.runs
-                    yield b"".join([runs[x] if x in runs else new[x] for x in p])
-                else:
-                    yield b"".join(map(self.runs.__getitem__, p))
+                yield b"".join(map(self.runs.__getitem__, p))
+            self._forget("runs", self.runs, new)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

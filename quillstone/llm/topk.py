@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+
 from .common import Scratch
 from .vectors import best_rows, first_of_alike, matrix, most_common_dimension
 
@@ -19,25 +22,32 @@ FOCUS = 12
 
 
 def integer_vectors(rows: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v`` with floor(scale * x) of each component; rows whose vector is null or
-    holds a null or non-finite component are left out, as are those without an id."""
+    """``id, v`` with floor(scale * x) of each component, as whole doubles; rows whose vector is
+    null or holds a null or non-finite component are left out, as are those without an id."""
+    most = sys.float_info.max
+
+    def whole(x):
+        y = F.least(F.greatest(x.cast("double") * scale, F.lit(-most)), F.lit(most))
+        return F.rint(y) - F.when(F.rint(y) > y, 1.0).otherwise(0.0)
+
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.filter(F.col(id_col).isNotNull() & v.isNotNull() & ~bad)
-    return good.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return good.select(F.col(id_col).cast("long").alias("id"), F.transform(v, whole).alias("v"))
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products: in floating point where every partial sum fits 53 bits."""
-    bound = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1]
+    """Exact integer products of whole doubles: in floating point where every partial sum
+    fits 53 bits, in whole numbers beyond; what 64 bits cannot hold becomes the nearest
+    number that they can."""
+    q, c = q.astype(float), c.astype(float)
+    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if bound < 2**53:
-        return (q.astype(float) @ c.T.astype(float)).astype(np.int64)
-    if bound < 2**63:
-        return q @ c.T
-    exact = q.astype(object) @ c.T.astype(object)
-    if exact.size and (exact.max() >= 2**63 or exact.min() < -(2**63)):
-        raise OverflowError("an inner product does not fit a 64-bit integer")
-    return exact.astype(np.int64)
+        return (q @ c.T).astype(np.int64)
+    if bound < 2**62 and max(np.abs(q).max(), np.abs(c).max()) < 2**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    as_whole = [np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (q, c)]
+    return np.clip(as_whole[0] @ as_whole[1].T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _candidates(q: np.ndarray, length: float, floor: float, c: np.ndarray, norms: np.ndarray) -> np.ndarray | None:
@@ -102,22 +112,22 @@ def top_k(
     of about BUCKET; blocks of queries meet the buckets that can still reach the lowest
     of their floors (a floor is a query's k-th score among the BUCKET longest rows).
     In a bucket each query is dropped after one comparison, or prunes by length or by
-    coordinates, and what is left is verified by exact products. Equal vectors are one
-    candidate with its k + 1 smallest ids, as no further one can be among the k best.
+    coordinates, and what is left is verified by exact products. Scores that 64 bits
+    cannot hold become the least or the largest number that they can.
 
     Columns: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; ties go to the smaller
     id. Rows with null ids, null or empty vectors, null or non-finite components, or
     another dimension than most rows take no part; a zero vector does (its products
-    are 0). Rows that repeat an id are candidates each; as a query the id asks once,
-    with the smallest of its vectors. Fewer candidates than k give all; an empty
+    are 0). Rows that repeat an id are candidates each, but for queries of that id; as a
+    query the id asks once, with the smallest of its vectors. Fewer candidates than k give all; an empty
     table gives no rows. Other columns are ignored. The driver holds one number for
     each bucket and each block of queries.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "topk")
     ints = most_common_dimension(scratch.write(integer_vectors(rows, scale, id_col, vector_col), "integers"))
-    square = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
-    candidates = first_of_alike(ints, k + 1).withColumn("length", F.sqrt(square))
+    square = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+    candidates = first_of_alike(ints, k).withColumn("length", F.sqrt(square))
     buckets = max(1, -(-ints.count() // BUCKET))
     candidates = scratch.write(
         candidates.repartitionByRange(buckets, F.desc("length"), "id").withColumn("c", F.spark_partition_id().cast("long")), "candidates"
@@ -143,7 +153,7 @@ def top_k(
                         floor[i] = np.partition(own, len(own) - k)[len(own) - k]
             yield pa.record_batch([*(b.column(i) for i in range(3)), pa.array(floor)], names=["id", "v", "length", "floor"])
 
-    floored = queries.select("id", "v", "length").mapInArrow(first_floor, "id long, v array<long>, length double, floor long")
+    floored = queries.select("id", "v", "length").mapInArrow(first_floor, "id long, v array<double>, length double, floor long")
     floored = scratch.write(floored, "queries")
     blocks = max(1, -(-floored.count() // QUERIES))
     floored = floored.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)))
@@ -153,10 +163,12 @@ def top_k(
     need = F.when(F.col("length") == 0, F.when(F.col("floor") > 0, float("inf")).otherwise(0.0)).otherwise(F.col("floor") / F.col("length"))
     needs = {r.g: r.need for r in floored.groupBy("g").agg(F.min(need).alias("need")).collect()}
     order = sorted(reach, key=lambda c: (-reach[c], c))
-    wanted = {g: sum(reach[c] >= x * (1 - 1e-9) for c in order) for g, x in needs.items()}
-    at_place = [(c, i, sum(n > i for n in wanted.values())) for i, c in enumerate(order)]
+    lengths = np.array([-reach[c] for c in order])
+    wanted = {g: int(np.searchsorted(lengths, -x * (1 - 1e-9), "right")) for g, x in needs.items()}
     by_want = sorted(wanted, key=lambda g: (-wanted[g], g))
     of_block = [(g, i, wanted[g]) for i, g in enumerate(by_want)]
+    most = np.sort(np.array([*wanted.values()], np.int64))
+    at_place = [(c, i, len(most) - int(np.searchsorted(most, i, "right"))) for i, c in enumerate(order)]
     if not at_place or not of_block:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     c_places = F.broadcast(spark.createDataFrame(at_place, "c long, cell long, blocks long"))

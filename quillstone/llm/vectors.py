@@ -24,15 +24,18 @@ def most_common_dimension(rows: DataFrame) -> DataFrame:
     return rows.filter(F.size("v") == (most[0].d if most else 0)) if most else rows.filter("false")
 
 
-def first_of_alike(rows: DataFrame, n: int) -> DataFrame:
-    """Of rows with equal vectors, those with the n smallest ids.
+def first_of_alike(rows: DataFrame, k: int) -> DataFrame:
+    """Of rows with equal vectors, those that can be among the k best of any query: k rows
+    of each of the k + 1 smallest ids, as a query leaves out the rows of its own id.
 
-    The rank limit also runs below the exchange, so that each map task passes on n
-    rows of a vector that a third of the table may share.
+    The rank limits also run below the exchange, so that each map task passes on few rows
+    of a vector that a third of the table may share.
     """
     same = F.md5(F.concat_ws(",", F.col("v").cast("array<string>")).cast("binary"))
-    w = Window.partitionBy("same").orderBy("id")
-    return rows.withColumn("same", same).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("same", "rn")
+    each = F.row_number().over(Window.partitionBy("same", "id").orderBy("id"))
+    ids = F.dense_rank().over(Window.partitionBy("same").orderBy("id"))
+    found = rows.withColumn("same", same).withColumn("nth", each).filter(F.col("nth") <= k).drop("nth")
+    return found.withColumn("nth", ids).filter(F.col("nth") <= k + 1).drop("same", "nth")
 
 
 def best_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:

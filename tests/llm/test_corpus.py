@@ -198,9 +198,25 @@ def test_op9_exact(spark, vectors, monkeypatch):
     assert sorted(tuple(r) for r in few) == [(0, 2), (1, 2), (2, 2)]
 
 
-def test_op9_wide_numbers():
+def test_op9_wide_numbers(spark):
     q, c = np.array([[2**40, 3]]), np.array([[2**20, 1], [1, 2]])
     assert topk._scores(q, c).tolist() == [[2**60 + 3, 2**40 + 6]]
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0]), (3, [1.0, 1.0]), (4, [1.7e308, -1.7e308]), (5, [0.0, 5.0])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).orderBy("rank").collect()
+    whole = {i: [int(np.floor(1024 * x)) if abs(x) < 1e300 else int(np.sign(x) * np.finfo(float).max) for x in v] for i, v in rows}
+    want = {i: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[0], whole[i])))) for i in whole if i}
+    assert [(r.vec_id, r.score) for r in found] == sorted(want.items(), key=lambda x: (-x[1], x[0]))
+
+
+@pytest.mark.parametrize("search", [lambda t: topk.top_k(t, k=3, every=10), lambda t: ann.nearest(t, k=3, every=10)])
+def test_repeated_rows_of_a_query(spark, search):
+    """Many rows of one id leave room for the others with the same vector."""
+    rows = [(0, [1.0, 2.0])] * 30 + [(i, [1.0, 2.0]) for i in range(1, 6)] + [(10, [0.5, 0.5]), (10, [0.25, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in search(table).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    assert found == {0: [1, 2, 3], 10: [0, 0, 0]}
 
 
 def test_op4_recall_and_scores(vectors):
@@ -246,6 +262,32 @@ def test_op5_packing(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_op5_random_texts(monkeypatch, tmp_path):
+    """Ids equal the library's, with room in the tables and without, and with other settings."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    r = random.Random(6)
+    pool = [chr(c) for c in range(32, 0x250)] + [" "] * 150 + ["\n", "\t", "\r\n", "'s", "'LL", "\u3000", "e\u0301", "日", "🙂", "İ", "Σ", "<|endoftext|>", "ſ", "ß"] * 6
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 80))) for _ in range(1500)] + ["a" * 20_000, "", " \n", "Ab cd " * 3000, "é" * 5000]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for room in (packing.MEMO_BYTES, 2000):
+        monkeypatch.setattr(packing, "MEMO_BYTES", room)
+        coder = packing.WordTokenizer(path)
+        data = [t.encode() for t in texts]
+        assert coder.by_run and list(coder.encode_batch(data)) == want and list(coder.encode_batch(data)) == want
+    with open(path) as f:
+        other = json.load(f)
+    other["normalizer"]["normalizers"].pop()  # keeps capitals
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    coder, lib = packing.WordTokenizer(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not coder.by_run
+    assert list(coder.encode_batch([b"One TWO three"])) == [np.array(lib.encode("One TWO three", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_op5_plan_uses_every_piece():
     r = np.random.default_rng(1)
     histogram = Counter(int(x) for x in r.integers(1, 2049, 5000)) + Counter({1: 3000, 2048: 5, 1024: 9})
