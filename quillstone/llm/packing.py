@@ -16,9 +16,9 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, prefix_counts
 
-#: Bytes that each of a worker's two tables of tokenized strings may take; results don't
-#: depend on it.
-MEMO_BYTES = 64 << 20
+#: Bytes that a worker's table of tokenized strings may take, and that of strings seen lately,
+#: which keeps none of more than LONG bytes; results don't depend on them.
+MEMO_BYTES, LATELY_BYTES, LONG = 160 << 20, 48 << 20, 256
 #: What an entry takes beside its characters, about.
 ENTRY_BYTES = 200
 #: Rows of one length that one window sorts.
@@ -71,8 +71,8 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.runs: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.room = {"runs": MEMO_BYTES, "words": MEMO_BYTES}
+        self.lately: dict[bytes, bytes] = {}
+        self.room = MEMO_BYTES
 
     def _encode(self, strings: list[str]):
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
@@ -90,6 +90,8 @@ class WordTokenizer:
         return found
 
     def _learn(self, runs: set[bytes]) -> dict[bytes, bytes]:
+        if not runs:
+            return {}
         letters = [r for r in runs if r.isalpha()]  # of ASCII
         single = [r.lower() for r in letters]
         plain: dict[bytes, list[bytes]] = {}
@@ -102,28 +104,13 @@ class WordTokenizer:
                 plain[r] = [low.encode()] if s.isalpha() else [w.encode() for w in self.find(low)]
             else:
                 other.append(r)
-        new = {*single, *chain.from_iterable(plain.values())}
-        new -= self.words.keys()
-        words = self._learn_words(sorted(new))
-        self.words.update(words)
-        get = self.words.__getitem__
+        words = self._learn_words([*{*single, *chain.from_iterable(plain.values())}])
+        get = words.__getitem__
         found = dict(zip(letters, map(get, single), strict=True))
         found.update((r, b"".join(map(get, ws))) for r, ws in plain.items())
         found.update(zip(other, self._encode([r.decode() for r in other]), strict=True))
-        self._forget("words", self.words, words)
         return found
 
-    def _forget(self, name: str, table: dict, new: dict) -> None:
-        """Take new entries out of a table again that has no room for them."""
-        if not new:
-            return
-        size = sum(map(len, new)) + sum(map(len, new.values())) + ENTRY_BYTES * len(new)
-        if size <= self.room[name]:
-            self.room[name] -= size
-        else:
-            for k in new:
-                del table[k]
-
     def encode_batch(self, texts: list[bytes]):
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
         if not self.by_run:
@@ -134,11 +121,21 @@ class WordTokenizer:
             parts = [t.split() for t in texts[at : at + 512]]
             unknown = set().union(*parts)
             unknown -= self.runs.keys()
-            new = self._learn(unknown) if unknown else {}
+            again = unknown & self.lately.keys()
+            new = {r: self.lately[r] for r in again}
+            new.update(self._learn(unknown - again))
             self.runs.update(new)
             for p in parts:
                 yield b"".join(map(self.runs.__getitem__, p))
-            self._forget("runs", self.runs, new)
+            for r in again:  # seen in two blocks: it stays while there is room
+                self.room -= ENTRY_BYTES + len(r) + len(new[r])
+            stays = again if self.room > 0 else ()
+            passing = new.keys() - stays
+            for r in passing:
+                del self.runs[r]
+            if sum(map(len, passing)) + ENTRY_BYTES * (len(self.lately) + len(passing)) > LATELY_BYTES:
+                self.lately = {}
+            self.lately.update((r, new[r]) for r in passing if len(r) <= LONG)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
