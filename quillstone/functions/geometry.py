@@ -67,7 +67,8 @@ def iou(a: Column, b: Column) -> Column:
     w = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))
     h = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
     both = w * h
-    return both / (area(a) + area(b) - both)
+    whole = area(a) + area(b) - both
+    return F.when(whole > 0, both / whole).otherwise(0.0)
 
 
 def crop(b: Column, width: Column, height: Column, padding: float = 0.0) -> Column:

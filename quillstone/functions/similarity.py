@@ -81,3 +81,8 @@ def character_error_rate(truth: Column, found: Column) -> Column:
     return F.levenshtein(truth, found) / F.greatest(F.length(truth), F.lit(1)).cast("double")
 
 
+
+
+def levenshtein_share(truth: Column, found: Column) -> Column:
+    """Character error rate: edits over the length of the truth; an empty truth counts as one character."""
+    return F.levenshtein(F.coalesce(truth, F.lit("")), F.coalesce(found, F.lit(""))) / F.greatest(F.length(F.coalesce(truth, F.lit(""))), F.lit(1))

@@ -238,8 +238,10 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def normalize_text(text: Column) -> Column:
-    """Compatibility composition, then tidy_text. ASCII texts stay in the JVM's hands."""
-    return tidy_text(F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(nfkc(text)))
+    """Compatibility composition, then tidy_text. Python gets null for ASCII texts, which the
+    composition would leave as they are."""
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return tidy_text(F.when(plain, text).otherwise(nfkc(F.when(~plain, text))))
 
 
 def tokenize(text: Column) -> Column:
@@ -292,7 +294,8 @@ def restore_terms(masked: Column) -> Column:
 def lenient_json(text: Column, schema: str) -> Column:
     """A reply parsed as JSON: without a code fence, whole or else its first balanced span; null if neither."""
     bare = F.regexp_replace(text, r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", "")
-    return F.coalesce(_strict(bare, schema), _strict(first_json_span(bare), schema))
+    whole = F.try_parse_json(bare).isNotNull()
+    return F.coalesce(_strict(bare, schema), _strict(first_json_span(F.when(~whole, bare)), schema))
 
 
 def _strict(text: Column, schema: str) -> Column:

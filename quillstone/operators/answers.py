@@ -162,7 +162,7 @@ def extract_answers(blocks: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         F.min(F.when(F.col("head"), F.col("label.display"))).alias("detected_label_display"),
         T.trim_all(F.array_join(text, " ")).alias("raw_text"),
         half_up(F.avg("confidence"), 4).alias("confidence"),
-        F.coalesce(F.first("extraction_method", ignorenulls=True), F.lit("ocr")).alias("extraction_method"),
+        F.coalesce(F.min_by("extraction_method", F.when(F.col("extraction_method").isNotNull(), F.col("position"))), F.lit("ocr")).alias("extraction_method"),
         ids.alias("block_ids"),
     )
     out = grouped.join(regions(rows, key, params), key).select(
@@ -260,8 +260,9 @@ def merge_continuations(answers: DataFrame) -> DataFrame:
 def apply_corrections(answers: DataFrame, corrections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Repaired transcriptions by answer id: text replaced, confidence at least the
     repaired one, a label only ever gained."""
-    new = corrections.select("answer_id", F.col("text").alias("__new"))
-    df = T.with_answer_label(answers.join(new, "answer_id", "left").withColumn("__text", F.coalesce("__new", F.lit(""))), "__text", "__label")
+    key = ["assessment_id", "answer_id"]
+    new = corrections.select(*key, F.col("text").alias("__new"))
+    df = T.with_answer_label(answers.join(new, key, "left").withColumn("__text", F.coalesce("__new", F.lit(""))), "__text", "__label")
     fixed = F.col("__new").isNotNull() & (T.trim_all(F.col("__new")) != "")
     return (
         df.withColumn("raw_text", F.when(fixed, F.col("__new")).otherwise(F.col("raw_text")))

@@ -216,9 +216,10 @@ def semi_children(t: Tables) -> DataFrame:
     return store.children(t.orders, keys, "o_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def anti_unanswered(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    some = t.orders.filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    return t.customer.join(some, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
@@ -349,9 +350,9 @@ def sql_tidy(x: str) -> str:
     return sql_trim(f"regexp_replace(regexp_replace({x}, '[‐-―]', '-', 'g'), {quoted(T.WS + '+')}, ' ', 'g')")
 
 
-@query(f"WITH x AS (SELECT doc_id, {sql_tidy('text')} AS tidy FROM documents) SELECT doc_id, CAST(length(tidy) AS INTEGER) AS n, md5(tidy) AS digest FROM x")
+@query(f"WITH x AS (SELECT doc_id, {sql_tidy("replace(replace(text || ' ﬁn ² Ⅳ', 'ﬁ', 'fi'), '² Ⅳ', '2 IV')")} AS tidy FROM documents) SELECT doc_id, CAST(length(tidy) AS INTEGER) AS n, md5(tidy) AS digest FROM x")
 def text_normalise(t: Tables) -> DataFrame:
-    df = t.documents.select("doc_id", T.tidy_text(F.col("text")).alias("tidy"))
+    df = t.documents.select("doc_id", T.normalize_text(F.concat("text", F.lit(" ﬁn ² Ⅳ"))).alias("tidy"))
     return df.select("doc_id", F.length("tidy").alias("n"), F.md5(F.col("tidy").cast("binary")).alias("digest"))
 
 
@@ -689,11 +690,14 @@ def reply_json(t: Tables) -> DataFrame:
     return t.events.select("event_id", T.lenient_json(fenced, "k long")["k"].alias("k"))
 
 
-@query("SELECT doc_id, md5(text || ' Mitochondria and dna') AS digest, CAST(2 AS INTEGER) AS terms FROM documents WHERE NOT regexp_matches(lower(text), 'zzzz')")
+@query("""SELECT item_id, regexp_replace(text, '[^a-z ]', '', 'g') || ' Mitochondria and dna' AS restored, regexp_replace(text, '[^a-z ]', '', 'g') || ' __DOMAIN_0__ and __DOMAIN_1__' AS masked,
+'Mitochondria,dna' AS terms FROM benchmark WHERE NOT regexp_matches(lower(text), 'dna|mitochondri')""")
 def domain_terms(t: Tables) -> DataFrame:
-    df = t.documents.withColumn("m", T.mask_terms(F.concat("text", F.lit(" Mitochondria and dna"))))
-    named = F.size(F.filter("m.terms", lambda x: x.isin("Mitochondria", "dna")))
-    return df.select("doc_id", F.md5(T.restore_terms(F.col("m")).cast("binary")).alias("digest"), F.least(named, F.lit(2)).alias("terms"))
+    """Texts of invented words hold no term but those added, so that what is masked is known."""
+    bare = F.regexp_replace("text", "[^a-z ]", "")
+    rows = t.benchmark.filter("not lower(text) rlike 'dna|mitochondri'")
+    df = rows.withColumn("m", T.mask_terms(F.concat(bare, F.lit(" Mitochondria and dna"))))
+    return df.select("item_id", T.restore_terms(F.col("m")).alias("restored"), F.col("m.text").alias("masked"), F.array_join("m.terms", ",").alias("terms"))
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -727,3 +731,6 @@ def assessment_results(t: Tables) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["assessment_results"](spark, sf_dir)
+
+
+from . import served  # noqa: E402, F401  registers its queries here

@@ -23,11 +23,11 @@ ANSWERS = (
     "assessment_id string, answer_id string, raw_text string, normalized_text string, detected_label string, detected_label_display string, "
     f"page_numbers array<int>, regions {REGIONS}, confidence double, extraction_method string, is_continuation_of string, block_ids array<string>"
 )
-RUBRICS = "question_id string, criteria array<struct<name:string,weight:double,keywords:array<string>,max_marks:double>>"
+RUBRICS = "assessment_id string, question_id string, criteria array<struct<name:string,weight:double,keywords:array<string>,max_marks:double>>"
 VERDICTS = "assessment_id string, question_id string, answer_id string, reason string"
-LLM_GRADES = "question_id string, score double, feedback string, breakdown array<struct<name:string,awarded:double,max_marks:double,rationale:string>>"
+LLM_GRADES = "assessment_id string, question_id string, score double, feedback string, breakdown array<struct<name:string,awarded:double,max_marks:double,rationale:string>>"
 PROPOSALS = "document_id string, display_number string, block_ids array<string>"
-CORRECTIONS = "answer_id string, text string"
+CORRECTIONS = "assessment_id string, answer_id string, text string"
 JOB_EVENTS = "job_id string, assessment_id string, stage string, status string, progress double, error string, at timestamp"
 
 #: Enumerations.

@@ -51,12 +51,16 @@ def validate_uploads(files: DataFrame, by: list[str], params: Params = DEFAULTS)
     """Adds ``mime``, ``checksum`` and ``problem`` (null for a sound file).
 
     An upload is one PDF or any number of images, each non-empty and within the limits.
+    Digests and counts are made first, so that contents are not sorted; they come back
+    by ``path`` where the files have one.
     """
-    df = files.withColumn("mime", sniff(F.col("content"))).withColumn("checksum", F.sha2("content", 256))
+    narrow = "path" in files.columns
+    df = files.withColumn("mime", sniff(F.col("content"))).withColumn("checksum", F.sha2("content", 256)).withColumn("__size", F.length("content"))
+    df = df.drop("content") if narrow else df
     group = Window.partitionBy(*by)
     pdfs = F.count_if(F.col("mime") == "application/pdf").over(group)
     n = F.count(F.lit(1)).over(group)
-    size = F.length("content")
+    size = F.col("__size")
     pages = F.col("page_count") if "page_count" in files.columns else F.lit(None).cast("int")
     problem = (
         F.when(size == 0, "empty")
@@ -65,7 +69,8 @@ def validate_uploads(files: DataFrame, by: list[str], params: Params = DEFAULTS)
         .when((pdfs > 1) | ((pdfs == 1) & (n > 1)), "one PDF or images only")
         .when(pages > params.max_pages, "too many pages")
     )
-    return df.withColumn("problem", problem)
+    out = df.withColumn("problem", problem).drop("__size")
+    return out.join(files.select("path", "content"), "path") if narrow else out
 
 
 def new_documents(batch: DataFrame, existing: DataFrame, key: list[str], order: list[str]) -> DataFrame:

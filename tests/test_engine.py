@@ -91,7 +91,7 @@ def test_grading_tree(spark):
     assert got == {"q1": (1.0, 1.0, "deterministic"), "q2": (2.0, 4.0, "provisional"), "q3": (0.0, 4.0, "skipped"), "q4": (0.0, 4.0, "deterministic")}
     s = grading.summarise(grades, ["assessment_id"]).first()
     assert (s.graded_count, s.held_for_review, s.provisional_count, s.total_score, s.max_score, s.percentage) == (2, 2, 1, 1.0, 5.0, 20.0)
-    rubric = spark.createDataFrame([("q1", [("terms", 1.0, ["Osmosis", "membrane"], 0.0)])], schemas.RUBRICS)
+    rubric = spark.createDataFrame([("s", "q1", [("terms", 1.0, ["Osmosis", "membrane"], 0.0)])], schemas.RUBRICS)
     row = grading.grade(mappings, questions, answers, rubric).filter("question_id = 'q1'").first()
     assert row.breakdown[0].rationale == "matched 1/2 rubric terms" and row.feedback == "All rubric criteria were addressed."
 
@@ -142,3 +142,38 @@ def test_params_from_conf(spark):
     spark.conf.unset("quillstone.accept")
     spark.conf.unset("quillstone.review")
     assert (p.accept, p.review) == (0.8, 0.45)
+
+
+def test_replies_stay_in_their_assessment(spark):
+    """Ids of questions and answers recur in every assessment; replies go by both."""
+    from quillstone.operators import answers, grading
+
+    marks = spark.createDataFrame([(a, "q-1", "Why?", 10.0) for a in "xy"], "assessment_id string, question_id string, text string, max_marks double")
+    texts = spark.createDataFrame([(a, "a-1-0", "osmosis", "osmosis", 0.5, None) for a in "xy"], "assessment_id string, answer_id string, raw_text string, normalized_text string, confidence double, detected_label string")
+    pairs = spark.createDataFrame([(a, "q-1", "a-1-0", "direct", "auto_accepted") for a in "xy"], "assessment_id string, question_id string, answer_id string, mapping_type string, review_status string")
+    rubrics = spark.createDataFrame([("x", "q-1", [("t", 1.0, ["osmosis"], 0.0)]), ("y", "q-1", [("t", 1.0, ["other"], 0.0)])], schemas.RUBRICS)
+    found = {r.assessment_id: r.score for r in grading.grade(pairs, marks, texts, rubrics).collect()}
+    assert found == {"x": 10.0, "y": 0.0}
+    given = spark.createDataFrame([("x", "q-1", 3.0, "f", None), ("y", "q-1", 4.0, "g", None)], schemas.LLM_GRADES)
+    rows = grading.grade(pairs, marks, texts, None, given).collect()
+    assert sorted((r.assessment_id, r.score, r.feedback) for r in rows) == [("x", 3.0, "f"), ("y", 4.0, "g")]
+    repaired = answers.apply_corrections(texts, spark.createDataFrame([("y", "a-1-0", "diffusion")], schemas.CORRECTIONS)).collect()
+    assert {r.assessment_id: (r.raw_text, r.confidence) for r in repaired} == {"x": ("osmosis", 0.5), "y": ("diffusion", 0.9)}
+
+
+def test_degenerate_boxes_have_no_overlap(spark):
+    from quillstone.functions import geometry
+
+    point = geometry.box(*[F.lit(0.5)] * 4)
+    assert spark.range(1).select(geometry.iou(point, point)).first()[0] == 0.0
+
+
+def test_uploads(spark):
+    from quillstone.sources import store
+
+    png, jpg, pdf = bytes.fromhex("89504E470D0A1A0A") + b"x", bytes.fromhex("FFD8FF") + b"y", b"%PDF-1.7"
+    files = [("a", "a/1", png, 1), ("a", "a/2", jpg, 1), ("b", "b/1", pdf, 300), ("c", "c/1", pdf, 2), ("c", "c/2", png, 1), ("d", "d/1", b"", 1), ("e", "e/1", b"GIF8", 1), ("f", "f/1", pdf + b"z" * 90, 1)]
+    df = spark.createDataFrame(files, "upload string, path string, content binary, page_count int")
+    rows = {r.path: r for r in store.validate_uploads(df, ["upload"], schemas.Params(max_upload_bytes=50)).collect()}
+    assert {k: r.problem for k, r in rows.items()} == {"a/1": None, "a/2": None, "b/1": "too many pages", "c/1": "one PDF or images only", "c/2": "one PDF or images only", "d/1": "empty", "e/1": "unsupported type", "f/1": "too large"}
+    assert rows["a/1"].mime == "image/png" and rows["a/2"].mime == "image/jpeg" and bytes(rows["b/1"].content) == pdf
