@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 #: Rows of a key above which link_by_keys lets ``refine`` part it.
-LARGE = 256
+LARGE = 1024
 #: Rows of a hub whose sets make its reference; any reference finds all pairs.
 SAMPLED = 15
 
@@ -153,9 +153,10 @@ def link_by_keys(
         large = rows.filter(F.col("m") > LARGE)
         if large.isEmpty():
             break
-        finer = steps[depth](large.select("key", "node", "degree", *others))
-        sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-        rows = finer.join(sizes, "key").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        large = large.select("key", "node", "degree", *others).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        finer = steps[depth](large)
+        sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        rows = finer.join(sizes.filter("lo <> hi").select("key", "m"), "key")
         rows = keep(rows, f"{depth}-finer")
     scratch.drop(f"{name}-apart", f"{name}-references", f"{name}-differences", *written)
     return comp

@@ -421,9 +421,12 @@ def random_line(r: random.Random, vocabulary: list[str], chars: int) -> str:
     return " ".join(w)
 
 
-def test_op7_random_edits_against_all_pairs(spark):
+@pytest.mark.parametrize("large", [1024, 12])
+def test_op7_random_edits_against_all_pairs(spark, monkeypatch, large):
     """Pairs of an edit similarity of 0.8 or more over all pairs; the groups must join
     0.9 of them and nothing else. A third of the lines share one start of 100 characters."""
+    monkeypatch.setattr("quillstone.llm.components.LARGE", large)
+    monkeypatch.setattr(lines, "LARGE", large)
     r = random.Random(8)
     vocabulary = ["".join(r.choice("etaoinshrdlucmf") for _ in range(r.randint(1, 9))) for _ in range(2000)]
     start = random_line(r, vocabulary, 100)
