@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 #: Rows of a key above which link_by_keys lets ``refine`` part it.
-LARGE = 1024
+LARGE = 256
 #: Rows of a hub whose sets make its reference; any reference finds all pairs.
 SAMPLED = 15
 

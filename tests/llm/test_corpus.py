@@ -421,7 +421,7 @@ def random_line(r: random.Random, vocabulary: list[str], chars: int) -> str:
     return " ".join(w)
 
 
-@pytest.mark.parametrize("large", [1024, 12])
+@pytest.mark.parametrize("large", [256, 12])
 def test_op7_random_edits_against_all_pairs(spark, monkeypatch, large):
     """Pairs of an edit similarity of 0.8 or more over all pairs; the groups must join
     0.9 of them and nothing else. A third of the lines share one start of 100 characters."""
