@@ -395,6 +395,25 @@ def test_op7_edit_distance():
         assert found == d if d <= most else most < found <= d
 
 
+def test_op7_pairs_verified_together(monkeypatch):
+    r = random.Random(4)
+    pairs = [("", ""), ("", "abc"), ("a" * 64, "a" * 64), ("é" * 70, "é" * 69 + "a"), ("a" * 65, "b" * 70)]
+    for _ in range(600):
+        a = "".join(r.choice("ab c") for _ in range(r.choice([1, 20, 63, 64, 65, 127, 128, 129, 300, 400])))
+        b = list(a)
+        for _ in range(r.randint(0, len(a) // 3)):
+            k = r.randint(0, len(b))
+            b[k : k + r.randint(0, 2)] = [r.choice("abcd ")] * r.randint(0, 2)
+        pairs.append((a, "".join(b)))
+    plain = [(a.encode(), b.encode()) for a, b in pairs if a.isascii()]
+    assert lines.edit_distances(plain).tolist() == [lines.edit_distance(a.decode(), b.decode()) for a, b in plain]
+    want = [lines.similar(a, b, 0.8) for a, b in pairs]
+    for together in (1, 10**6):
+        monkeypatch.setattr(lines, "TOGETHER", together)
+        assert lines.similar_pairs(pairs, 0.8).tolist() == want
+    assert lines.similar_pairs([], 0.8).tolist() == []
+
+
 def test_op7_normalised_lines_agree_on_ascii():
     import re
 
