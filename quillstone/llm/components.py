@@ -173,10 +173,18 @@ def _pair() -> list[Column]:
 
 
 def within_keys(rows: DataFrame, near: Callable[[str, str], Column], others: list[str]) -> DataFrame:
-    """Candidate pairs of which one row at least is apart from its key's hub."""
+    """Candidate pairs of which one row at least is apart from its key's hub.
+
+    If ``before`` is among ``others``, it holds a row's symbols before the one of this key, and a
+    pair that shares one of these is left out: it meets under that one, where it is found, has
+    been tested with the hub, or is in one component.
+    """
     x = rows.filter("comp <> hub_comp").select("key", F.struct("node", "comp", *others).alias("x"))
     y = rows.select("key", F.struct("node", "comp", "hub_comp", *others).alias("y"))
-    return x.join(y, "key").filter(_once() & near("x", "y")).select(*_pair()).distinct()
+    meet = _once() & near("x", "y")
+    if "before" in others:
+        meet &= ~F.arrays_overlap("x.before", "y.before")
+    return x.join(y, "key").filter(meet).select(*_pair()).distinct()
 
 
 def by_difference(
