@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .common import Scratch
 
-#: Rows of a key above which link_by_keys lets ``refine`` part it.
+#: Rows of a key up to which all its pairs may be written out.
 LARGE = 256
 #: Rows of a hub whose sets make its reference; any reference finds all pairs.
 SAMPLED = 15
@@ -58,12 +58,9 @@ def link_by_keys(
     beyond: Callable[[DataFrame, DataFrame], DataFrame],
     scratch: Scratch,
     name: str,
-    rounds: int = 1,
-    refine: list[Callable[[DataFrame], DataFrame]] | None = None,
-    first: DataFrame | None = None,
 ) -> DataFrame:
     """Components under all verified links between rows of ``parts``, tables of
-    ``key, node``, that share a key, and between the candidate pairs ``first(a, b)``.
+    ``key, node``, that share a key.
 
     A node has each of its keys once, and no key is in two parts; they are counted one
     after the other, so that only one lies in shuffle files. ``near(a, b)`` is a cheap
@@ -73,12 +70,8 @@ def link_by_keys(
 
     First each row of a key is paired with one hub only, the row that shares the most
     keys with others; that links most of a group of copies by a number of pairs linear
-    in it. Each further round takes the hub among the rows still apart from the first
-    hub's component. Keys in which rows are still apart then go to ``beyond(rows, contents)``,
-    which gives the candidate pairs that are left. If there is a further step of ``refine``,
-    keys of more than LARGE rows go there instead: ``refine[i](rows)`` gives the rows ``key,
-    node, ...`` with finer keys, in which the rounds start again, so that no step makes
-    more pairs than rows times LARGE but the last, in keys that all steps left large.
+    in it. Keys in which rows are still apart then go to ``beyond(rows, contents)``, which
+    gives the candidate pairs that are left.
     """
     others = [c for c in nodes.columns if c != "node"]
     shared = None
@@ -86,79 +79,36 @@ def link_by_keys(
         sizes = part.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
         some = scratch.write(part.join(sizes.hint("shuffle_hash"), "key"), f"{name}-shared-{i}", free=True)
         shared = shared.union(some) if i else some
-    wanted = shared.select("node")
-    if first:
-        wanted = wanted.union(first.select("a")).union(first.select("b"))
-    contents = scratch.write(prepare(wanted.distinct()), f"{name}-contents", free=True)
+    contents = scratch.write(prepare(shared.select("node").distinct()), f"{name}-contents", free=True)
     degree = shared.groupBy("node").agg(F.sum("m").alias("degree")).join(nodes, "node")
     rows = scratch.write(shared.join(degree, "node"), f"{name}-rows", free=True)
     scratch.drop(*[f"{name}-shared-{i}" for i in range(len(parts))])
 
-    tested = links = comp = None
-
-    def test(pairs: DataFrame, step: str) -> None:
-        """Verify the pairs not tested yet, and find the components anew if there are links."""
-        nonlocal tested, links, comp
-        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, f"{name}-pairs-{step}")
-        if tested and pairs.isEmpty():
-            return
-        tested = tested.union(pairs) if tested else pairs
-        found = scratch.write(verify(pairs, contents), f"{name}-links-{step}", free=True)
-        links = links.union(found) if links else found
-        if comp is None or not found.isEmpty():
-            comp = scratch.write(components(links, scratch, f"{name}-c-{step}"), f"{name}-comp-{step}")
-
-    written = [f"{name}-rows"]
-
-    def keep(df: DataFrame, step: str) -> DataFrame:
-        """The rows as the next table, in place of the last one."""
-        out = scratch.write(df, f"{name}-rows-{step}")
-        scratch.drop(written.pop())
-        written.append(f"{name}-rows-{step}")
-        return out
-
-    if first:
-        # one pair for each node links most; then those that are still apart
-        test(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-        left = first.join(comp.toDF("a", "x"), "a", "left").join(comp.toDF("b", "y"), "b", "left")
-        test(left.filter(~F.coalesce(F.col("x") == F.col("y"), F.lit(False))).select("a", "b"), "second")
-        if rows.isEmpty():
-            scratch.drop(*written)
-            return comp
-        rows = keep(rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "first")
-    else:
-        rows = rows.withColumn("comp", F.col("node"))
+    rows = rows.withColumn("comp", F.col("node"))
     body = ["node", "comp", *others]
-    steps = refine or []
-    for depth in range(len(steps) + 1):
-        for r in range(rounds):
-            fresh = rows.filter("comp <> hub_comp") if r else rows
-            hubs = fresh.groupBy("key").agg(F.max(F.struct("degree", *body)).alias("x"))
-            stars = rows.join(hubs, "key").select("x", F.struct(*body).alias("y")).filter((F.col("x.comp") != F.col("y.comp")) & near("x", "y"))
-            test(stars.select(*_pair()).distinct(), f"{depth}-{r}")
-            if r == 0:
-                rows = rows.join(hubs.select("key", F.col("x.node").alias("hub")), "key")
-            hub_comp = comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-            rows = rows.drop("comp", "hub_comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            rows = rows.join(hub_comp, "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
-            apart = rows.filter("comp <> hub_comp").select("key").distinct()
-            rows = keep(rows.join(apart, "key", "left_semi"), f"{depth}-{r}")
-        rows = rows.filter("node <> hub")
-        apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        rows = keep(rows.join(apart, "key", "left_semi"), f"{depth}-open")
-        if depth == len(steps):
-            test(beyond(rows, contents), f"{depth}-rest")
-            break
-        test(beyond(rows.filter(F.col("m") <= LARGE), contents), f"{depth}-rest")
-        large = rows.filter(F.col("m") > LARGE)
-        if large.isEmpty():
-            break
-        large = large.select("key", "node", "degree", *others).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        finer = steps[depth](large)
-        sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        rows = finer.join(sizes.filter("lo <> hi").select("key", "m"), "key")
-        rows = keep(rows, f"{depth}-finer")
-    scratch.drop(f"{name}-apart", f"{name}-references", f"{name}-differences", *written)
+    hubs = rows.groupBy("key").agg(F.max(F.struct("degree", *body)).alias("x"))
+    stars = rows.join(hubs, "key").select("x", F.struct(*body).alias("y")).filter((F.col("x.comp") != F.col("y.comp")) & near("x", "y"))
+    tested = scratch.write(stars.select(*_pair()).distinct(), f"{name}-pairs-0")
+    links = scratch.write(verify(tested, contents), f"{name}-links-0", free=True)
+    comp = scratch.write(components(links, scratch, f"{name}-c-0"), f"{name}-comp-0")
+
+    rows = rows.join(hubs.select("key", F.col("x.node").alias("hub")), "key")
+    hub_comp = comp.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    rows = rows.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = rows.join(hub_comp, "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
+    apart = rows.filter("comp <> hub_comp").select("key").distinct()
+    rows = scratch.write(rows.join(apart, "key", "left_semi"), f"{name}-rows-0")
+    scratch.drop(f"{name}-rows")
+    rows = rows.filter("node <> hub")
+    apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    rows = scratch.write(rows.join(apart, "key", "left_semi"), f"{name}-open")
+    scratch.drop(f"{name}-rows-0")
+    pairs = scratch.write(beyond(rows, contents).join(tested, ["a", "b"], "left_anti"), f"{name}-pairs-1")
+    if not pairs.isEmpty():
+        found = scratch.write(verify(pairs, contents), f"{name}-links-1", free=True)
+        if not found.isEmpty():
+            comp = scratch.write(components(links.union(found), scratch, f"{name}-c-1"), f"{name}-comp-1")
+    scratch.drop(f"{name}-apart", f"{name}-references", f"{name}-differences", f"{name}-open")
     return comp
 
 
@@ -172,21 +122,6 @@ def _pair() -> list[Column]:
     return [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
 
 
-def within_keys(rows: DataFrame, near: Callable[[str, str], Column], others: list[str]) -> DataFrame:
-    """Candidate pairs of which one row at least is apart from its key's hub.
-
-    If ``before`` is among ``others``, it holds a row's symbols before the one of this key, and a
-    pair that shares one of these is left out: it meets under that one, where it is found, has
-    been tested with the hub, or is in one component.
-    """
-    x = rows.filter("comp <> hub_comp").select("key", F.struct("node", "comp", *others).alias("x"))
-    y = rows.select("key", F.struct("node", "comp", "hub_comp", *others).alias("y"))
-    meet = _once() & near("x", "y")
-    if "before" in others:
-        meet &= ~F.arrays_overlap("x.before", "y.before")
-    return x.join(y, "key").filter(meet).select(*_pair()).distinct()
-
-
 def by_difference(
     rows: DataFrame,
     near: Callable[[str, str], Column],

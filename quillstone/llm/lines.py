@@ -15,15 +15,18 @@ from pyspark.sql.types import StringType, StructField, StructType
 from xxhash import xxh3_128_digest
 
 from .common import Scratch
-from .components import LARGE, link_by_keys, within_keys
+from .components import LARGE, components
 
 SIMILARITY = 0.8
 #: Shorter normalised lines meet as equal lines only.
 FUZZY_CHARS = 16
-#: A key is the least hash of the line's grams of GRAM bytes that fall in one of KEYS bins. As
-#: many further bins part large keys.
+#: A key is the least hash of the line's grams of GRAM bytes that fall in one of KEYS bins of
+#: BINS. Keys of more than LARGE lines are compared with the lines at hand, in blocks of BLOCK.
 GRAM, KEYS = 14, 8
 BINS = 2 * KEYS
+BLOCK = 4096
+#: Entries of a large key that are compared with all others at a time, at most.
+STRIP = 256
 #: Lines under SHORT bytes have SHORT_KEYS more keys, of two least hashes of grams of SMALL bytes.
 SHORT, SHORT_KEYS, SMALL = 64, 6, 6
 #: Of the 128 bits of two SimHashes over grams of SMALL bytes, how many may differ; see
@@ -38,8 +41,11 @@ RANGE_CHARS = 1 << 26
 DEALT = 20_000
 #: Nodes up to which those whose texts are needed are sent to all tasks (8 bytes each).
 SENT = 500_000
-#: Pairs of lines that are verified together, at least for each 64 characters, and at most.
-TOGETHER, BATCH = 50, 1024
+#: Pairs of lines that are verified together, at least for each 64 characters, and at most; of
+#: how many words of 64 characters at most, and how many words their characters' places take.
+TOGETHER, BATCH, WIDEST, PLACES = 8, 1024, 40, 1 << 22
+#: Columns after which pairs verified together are looked at for ones that can't be links.
+STEP = 32
 
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
@@ -128,31 +134,55 @@ def similar(a: str, b: str, least: float) -> bool:
     return edits_by_words(a.split(" "), b.split(" "), most) <= most or edit_distance(a, b, most) <= most
 
 
-def edit_distances(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
-    """Levenshtein distances of pairs of ASCII texts, of any lengths: the bit-parallel columns of all pairs are
-    found together, in words of 64 rows (Hyyro 2003)."""
-    order = sorted(range(len(pairs)), key=lambda i: -len(pairs[i][1]))
+def edit_distances(pairs: list[tuple], most: np.ndarray | None = None) -> np.ndarray:
+    """Levenshtein distances of pairs of texts (or of bytes), of any lengths: the bit-parallel columns of all pairs
+    are found together, in words of 64 rows (Hyyro 2003).
+
+    Of a pair whose distance is beyond its ``most``, some number beyond it is the result: words
+    of which no row is within the largest ``most`` of the diagonal are left out, and a pair goes
+    where no way through a column can end within its own."""
+    order = np.array(sorted(range(len(pairs)), key=lambda i: -len(pairs[i][1])))
     first, second = [pairs[i][0] for i in order], [pairs[i][1] for i in order]
     m, n = np.array([len(x) for x in first], np.int64), np.array([len(x) for x in second], np.int64)
     words = max(1, -(-int(m.max()) // 64))
-    every = np.arange(len(pairs))
-    a = np.frombuffer(b"".join(x.ljust(words * 64, b"\0") for x in first), np.uint8).reshape(len(pairs), -1)
-    b = np.frombuffer(b"".join(x.ljust(int(n[0]), b"\0") for x in second), np.uint8).reshape(len(pairs), -1).T
-    # where each pair's first text has each byte; a pad has bits beyond its rows only
-    places = np.zeros((len(pairs), 128, words), _U)
+    at = np.arange(len(pairs))
+    flat = b"".join(x if isinstance(x, bytes) else x.encode("utf-32-le", "surrogatepass") for x in first + second)
+    flat = np.frombuffer(flat, np.uint8 if isinstance(first[0], bytes) else np.uint32)
+    code = np.zeros(int(flat.max(initial=0)) + 1, np.int32)
+    code[flat] = 1
+    code = np.cumsum(code, dtype=np.int32)  # from 1 on
+    kinds, flat = int(code[-1]) + 1, code[flat]
+    a, b = np.zeros((len(pairs), words * 64), np.int32), np.zeros((len(pairs), int(n[0])), np.int32)
+    cut = int(m.sum())
+    a[np.arange(words * 64) < m[:, None]] = flat[:cut]
+    b[np.arange(int(n[0])) < n[:, None]] = flat[cut:]
+    b = np.ascontiguousarray(b.T)
+    # where each pair's first text has each character; a pad has bits beyond its rows only
+    places = np.zeros((len(pairs), kinds, words), _U)
     for i in range(int(m.max())):
-        places[every, a[:, i], i // 64] |= _U(1 << i % 64)
+        places[at, a[:, i], i // 64] |= _U(1 << i % 64)
     places = places.reshape(-1, words)
     rows = np.clip(m[:, None] - 64 * np.arange(words), 0, 64).astype(_U)
     rows = np.where(rows == 64, ~_U(0), (_U(1) << (rows & _U(63))) - _U(1))
     up, down = np.full((words, len(pairs)), ~_U(0)), np.zeros((words, len(pairs)), _U)
+    base = np.zeros(len(pairs), np.int64)  # the distance above the first word within the band
     one, top = _U(1), _U(63)
-    ending = np.searchsorted(-n, -np.arange(int(n[0]) + 1), side="left")  # pairs longer than t come first
+    out = np.empty(len(pairs), np.int64)
+    if most is not None:
+        most = np.asarray(most)[order]
+    band = int(most.max()) if most is not None else max(int(m.max()), int(n[0]))
+    low = 0
     for t in range(int(n[0])):
-        live = int(ending[t])
-        same = places[every[:live] * 128 + b[t, :live]]
+        live = int(np.searchsorted(-n, -t, side="left"))  # pairs longer than t come first
+        if not live:
+            break
+        while 64 * low + 64 < t - band:
+            base[:live] += np.bitwise_count(up[low, :live]).astype(np.int64) - np.bitwise_count(down[low, :live])
+            up[low, :live] = down[low, :live] = 0
+            low += 1
+        same = places[at[:live] * kinds + b[t, :live]]
         rise_in, fall_in = one, _U(0)
-        for w in range(words):
+        for w in range(low, min(words, (t + band) // 64 + 1)):
             p, q = up[w, :live], down[w, :live]
             x = same[:, w] | fall_in
             flat = same[:, w] | q
@@ -163,33 +193,60 @@ def edit_distances(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
             up[w, :live] = fall | ~(flat | rise)
             down[w, :live] = rise & flat
             rise_in, fall_in = rise_out, fall_out
-    score = n + (np.bitwise_count(up.T & rows).astype(np.int64) - np.bitwise_count(down.T & rows)).sum(axis=1)
-    out = np.empty(len(pairs), np.int64)
-    out[order] = score
+        base[:live] += 1
+        if most is not None and t % STEP == STEP - 1:
+            least = _least_ends(up[low:, :live], down[low:, :live], base[:live], m[:live] - 64 * low, n[:live] - t - 1)
+            gone = np.flatnonzero(least > most[:live])
+            if 4 * len(gone) >= live:
+                out[order[at[gone]]] = least[gone]
+                stay = np.ones(len(at), bool)
+                stay[gone] = False
+                at, m, n, most, base, b, rows = at[stay], m[stay], n[stay], most[stay], base[stay], b[:, stay], rows[stay]
+                up, down = up[:, stay], down[:, stay]
+    out[order[at]] = base + (np.bitwise_count(up.T & rows).astype(np.int64) - np.bitwise_count(down.T & rows)).sum(axis=1)
     return out
 
 
+def _least_ends(up: np.ndarray, down: np.ndarray, base: np.ndarray, m: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A bound of each distance from below by a column that has ``left`` columns after it: each
+    sixteenth row's entry, less the rows that one between may be off, and what the rests differ in."""
+    words, pairs = up.shape
+    up, down = (np.ascontiguousarray(x).view(np.uint16).reshape(words, pairs, 4).transpose(1, 0, 2).reshape(pairs, -1) for x in (up, down))
+    step = np.bitwise_count(up).astype(np.int64) - np.bitwise_count(down)
+    entry = np.hstack([base[:, None], base[:, None] + np.cumsum(step, axis=1)])
+    row = 16 * np.arange(entry.shape[1])
+    # both the entry and the rest change by one a row at most, and 8 rows off is one of these
+    least = entry + np.abs(m[:, None] - row - left[:, None]) - 16
+    return np.where(row - 16 <= m[:, None], least, np.iinfo(np.int64).max).min(axis=1)
+
+
 def similar_pairs(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
-    """``similar`` of each pair. Where TOGETHER times as many ASCII pairs as a text has words of
-    64 characters are of one such length, they are compared together."""
+    """``similar`` of each pair. Pairs of like length are compared together where they are
+    TOGETHER times as many as their texts have words of 64 characters."""
     out = np.zeros(len(pairs), bool)
-    most = np.array([int(max(len(a), len(b)) * (1 - least) + 1e-9) for a, b in pairs], np.int64)
+    size = [sorted((len(a), len(b))) for a, b in pairs]
+    most = np.array([int(y * (1 - least) + 1e-9) for _, y in size], np.int64)
     alike: dict[int, list[int]] = {}
-    for i, (a, b) in enumerate(pairs):
-        if abs(len(a) - len(b)) <= most[i]:
-            words = -(-min(len(a), len(b)) // 64) if a.isascii() and b.isascii() else 0
-            alike.setdefault(words, []).append(i)
-    for words, some in alike.items():
-        if not words or len(some) < TOGETHER * words:
+    for i, (x, y) in enumerate(size):
+        if y - x <= most[i]:
+            words = -(-x // 64)
+            alike.setdefault(words if words < 5 else 4 * words.bit_length() + (words >> words.bit_length() - 3), []).append(i)
+    for some in alike.values():
+        words = -(-max(size[i][0] for i in some) // 64)
+        if len(some) < TOGETHER * words or words > WIDEST:
             out[some] = [similar(*pairs[i], least) for i in some]
             continue
-        if words > 4:  # a way to edit by words is then found sooner
+        if words > 16:  # a way to edit by words is then found sooner
             out[some] = [edits_by_words(*(x.split(" ") for x in pairs[i]), most[i]) <= most[i] for i in some]
             some = [i for i in some if not out[i]]
-        some.sort(key=lambda i: max(map(len, pairs[i])))
-        for k in range(0, len(some), BATCH):
+        some.sort(key=lambda i: size[i][1])
+        k = 0
+        while k < len(some):
             at = some[k : k + BATCH]
-            out[at] = edit_distances([tuple(sorted((x.encode() for x in pairs[i]), key=len)) for i in at]) <= most[at]
+            kinds = len(set().union(*(pairs[i][0] for i in at))) + len(set().union(*(pairs[i][1] for i in at)))
+            at = at[: max(1, PLACES // max(1, kinds * words))]  # many scripts or long texts: fewer at a time
+            out[at] = edit_distances([tuple(sorted(pairs[i], key=len)) for i in at], most[at]) <= most[at]
+            k += len(at)
     return out
 
 
@@ -262,8 +319,8 @@ def _filled(least: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line the SimHash (two longs), KEYS keys, as many further symbols, and SHORT_KEYS
-    keys that only lines under SHORT bytes have (else 0)."""
+    """Of each line the SimHash (two longs), KEYS keys, as many further symbols that no search takes yet, and
+    SHORT_KEYS keys that only lines under SHORT bytes have (else 0)."""
     least = np.full((len(lines), BINS), _NONE, _U)
     votes = np.zeros((len(lines), 128), np.int32)
     for low, own, pieces in _pieces(lines):
@@ -340,6 +397,128 @@ def _allowed(size):
     return np.minimum(DISTANCE, 10 + size.astype(np.int64) // 4)
 
 
+def _labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place that each place reaches by ``label`` and the links of ``a`` and ``b``."""
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[a], label[b])
+        np.minimum.at(new, label[b], label[a])
+        new = new[label]
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def linked_entries(e: np.ndarray, place: int, keys: np.ndarray, norm: list[str], side: np.ndarray | None, similarity: float):
+    """Components among entries of one key, by the links of all pairs that are close and don't share
+    a key before this one (of the number ``place``), but for pairs that links already join.
+
+    Three rows of middle sizes meet all others first, then each strip of rows all later ones, as
+    arrays. Of the close pairs of different components that a component has part in, one is
+    verified, then four, and so on until no pair is left, so that few pairs join n copies of a
+    line. ``side`` (two values) leaves out the pairs of one side. Gives places of entries that are
+    joined to one before, and that one's place.
+    """
+    order = np.argsort(e["size"], kind="stable")
+    size, s0, s1, node = (e[c][order] for c in ("size", "s0", "s1", "node"))
+    size = size.astype(np.int64)
+    before = keys[order, :place]
+    part = None if side is None else side[order]
+    n = len(e)
+    label = np.arange(n)
+
+    def nth(group: np.ndarray) -> np.ndarray:
+        """How many places before have the same value."""
+        by = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.r_[True, group[by][1:] != group[by][:-1]])
+        out = np.empty(len(by), np.int64)
+        out[by] = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
+        return out
+
+    def join(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> int:
+        """Join rows x and y that are linked, of the pairs in ``apart``; how many were verified."""
+        nonlocal label
+        apart &= (label[x][:, None] != label[y]) & (node[x][:, None] != node[y])
+        if part is not None:
+            apart &= part[x][:, None] != part[y]
+        at, to = np.nonzero(apart)
+        at, to = np.minimum(x[at], y[to]), np.maximum(x[at], y[to])
+        bits = np.bitwise_count(s0[at] ^ s0[to]).astype(np.int64) + np.bitwise_count(s1[at] ^ s1[to])
+        close = (bits <= _allowed(size[to])) & (size[at] >= similarity * size[to] - 1e-6)
+        at, to = at[close], to[close]
+        if 4 * len(at) < len(x) * n:  # else copies, which are soon one component
+            met = np.zeros(len(at), bool)
+            for k in range(place):
+                met |= (before[at, k] == before[to, k]) & (before[at, k] != 0)
+            at, to = at[~met], to[~met]
+        few, tried = 1, 0
+        while len(at):
+            wanted = np.ones(len(at), bool)
+            if len(at) > STRIP:
+                wanted = (nth(label[at]) < few) | (nth(label[to]) < few)
+            a, b = at[wanted], to[wanted]
+            tried += len(a)
+            linked = similar_pairs([(norm[order[j]], norm[order[k]]) for j, k in zip(a, b, strict=True)], similarity)
+            label = _labels(label, a[linked], b[linked])
+            at, to = at[~wanted], to[~wanted]
+            still = label[at] != label[to]
+            at, to = at[still], to[still]
+            few *= 4
+        return tried
+
+    for x in (n // 2, n // 4, 3 * n // 4):
+        join(np.array([x]), np.arange(n), np.ones((1, n), bool))
+    i, many = 0, 1
+    while i < n - 1:
+        x = np.arange(i, min(i + many, n - 1))
+        # of the later ones, which are as large at least, those up to the most that a link allows
+        y = np.arange(i + 1, int(np.searchsorted(similarity * size - 1e-6, size[x[-1]], side="right")))
+        i = int(x[-1]) + 1
+        tried = join(x, y, x[:, None] < y)
+        many = max(1, many // 2) if tried > 4 * BATCH else min(STRIP, 2 * many)
+    joined = np.flatnonzero(label != np.arange(n))
+    return order[joined], order[label[joined]]
+
+
+def link_large_keys(entry: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` that links join among the lines of ``entry(key, node)`` that share a key, of
+    ``known(node, digest, norm)``; for each key a row less than its lines at most (and block).
+
+    All pairs of a key meet, as arrays, each under the first of their common keys only. A
+    key of more than BLOCK lines is parted at random, and each two parts meet in a task."""
+
+    def tell(batches):
+        for b in batches:
+            clean = [x.encode() for x in b.column(1).to_pylist()]
+            sims, keys, _, short = fingerprints(clean)
+            every = np.ascontiguousarray(np.hstack([keys, short]))
+            told = [pa.array([x.tobytes() for x in every], pa.binary())] + [pa.array(np.ascontiguousarray(sims[:, k]).view(np.int64)) for k in (0, 1)]
+            yield pa.record_batch([b.column(0), pc.utf8_length(b.column(1)), b.column(1), *told], names=["node", "size", "norm", "keys", "s0", "s1"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        e = np.empty(rows.num_rows, ENTRY)
+        for c in ("key", "node", "size", "s0", "s1"):
+            x = rows[c].to_numpy()
+            e[c] = x.view("<u8") if c in ("key", "s0", "s1") else x
+        keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), "<u8").reshape(len(e), -1)
+        own = np.flatnonzero((keys == e["key"][:, None]).any(axis=0))
+        i, j, block = (rows[c].to_numpy() for c in ("i", "j", "block"))
+        side = None if i[0] == j[0] else block == i[0]
+        a, b = linked_entries(e, int(own[0]) if len(own) else 0, keys, rows["norm"].to_pylist(), side, similarity)
+        a, b = e["node"][a], e["node"][b]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    told = known.select("node", "norm").join(entry.select("node").distinct(), "node", "left_semi").mapInArrow(tell, "node long, size int, norm string, keys binary, s0 long, s1 long")
+    parts = entry.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
+    rows = entry.join(parts, "key").select("key", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("key", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # the work goes by pairs of lines rather than by bytes
+    tasks = max(int(entry.sparkSession.conf.get("spark.sql.shuffle.partitions")), entry.count() // BLOCK)
+    return rows.join(told, "node").repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(meet, "a long, b long")
+
+
 _FOUND = "key long, size int, a long, b long, s0 long, s1 long"
 
 
@@ -453,36 +632,24 @@ def line_groups(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARIT
     Lines that are equal once normalised are one node, whatever their length. Nodes of
     FUZZY_CHARS characters and more that share a key and whose SimHashes are close (see
     _allowed) are linked if their edit similarity (one less the edit distance over the
-    longer length) is at least ``similarity``. Keys of up to LARGE nodes are compared in
-    whole; larger ones by hubs, see link_by_keys, and where many nodes are still apart from
-    the hub by further symbols: nodes must then share one of KEYS more symbols too. The
-    first line of a group, by id, row and place, is kept.
+    longer length) is at least ``similarity``. All such pairs are compared, but those that
+    other links join already: keys of up to LARGE nodes by meetings, larger ones by
+    link_large_keys.
 
     Nodes go by 64 bits of their digest while pairs are sought. Of different lines with the same
     64 bits one takes part in the search, the others meet as equal lines only.
     """
     found = scratch.write(meetings(docs, similarity), "met", free=True)
     occurrences = scratch.write(document_lines(docs), "lines")
-    pairs = found.filter("b is not null").select("a", "b").distinct()
-    entry = found.filter("b is null").select("key", F.col("a").alias("node"), "size", "s0", "s1").distinct()
-    nodes = entry.groupBy("node").agg(*[F.min(c).alias(c) for c in ("size", "s0", "s1")])
-    def near(a: str, b: str):
-        x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
-        bits = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s0", "s1")]
-        allowed = F.least(F.lit(DISTANCE), 10 + F.floor(F.greatest(x, y) / 4))
-        return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6) & (bits[0] + bits[1] <= allowed)
-
-    def prepare(wanted: DataFrame) -> DataFrame:
-        """``node, digest, norm``: the normalised line of each node."""
-        if wanted.count() <= SENT:
-            wanted = F.broadcast(wanted)
-        told = occurrences.filter(F.col("norm").isNotNull()).select("node", "digest", "norm")
-        return told.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-
-    def contents() -> DataFrame:
-        return scratch.spark.read.parquet(scratch.path("lines-contents"))
-
-    def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    pairs = scratch.write(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+    entry = scratch.write(found.filter("b is null").select("key", F.col("a").alias("node")).distinct(), "entries", free=True)
+
+    wanted = scratch.write(entry.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), "wanted", free=True)
+    told = occurrences.filter(F.col("norm").isNotNull()).select("node", "digest", "norm")
+    told = told.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "node", "left_semi").dropDuplicates(["node"])
+    known = scratch.write(told, "contents", free=True)
+
+    def verify(pairs: DataFrame) -> DataFrame:
         def confirm(batches):
             for b in batches:
                 told = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
@@ -493,32 +660,23 @@ def line_groups(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARIT
         both = both.join(known.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long").distinct()
 
-    def finer(rows: DataFrame) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                some = fingerprints([x.encode() for x in b.column(1).to_pylist()])[2]
-                flat = pa.array(np.ascontiguousarray(some).view(np.int64).ravel())
-                yield pa.record_batch([b.column(0), pa.FixedSizeListArray.from_arrays(flat, some.shape[1]).cast(pa.list_(pa.int64()))], names=["node", "symbols"])
-
-        own = [c for c in rows.columns if c != "key"]
-        symbols = contents().join(rows.select("node").distinct(), "node", "left_semi").select("node", "norm").mapInArrow(run, "node long, symbols array<long>")
-        rows = rows.join(symbols, "node").select("key", *own, "symbols", F.posexplode("symbols").alias("place", "symbol"))
-        before = F.slice("symbols", F.lit(1), F.col("place")).alias("before")
-        return rows.select(F.xxhash64("key", "symbol").alias("key"), *own, before).dropDuplicates(["key", "node"])
-
-    def beyond(rows: DataFrame, _) -> DataFrame:
-        return within_keys(rows, near, ["size", "s0", "s1", *(["before"] if "before" in rows.columns else [])])
-
-    comp = link_by_keys(
-        [entry.select("key", "node")], nodes, near, prepare, verify, beyond,
-        scratch, "lines", refine=[finer], first=pairs,
-    )
-    of_node = comp.join(contents().select("node", "digest"), "node")
+    # the large keys, and one pair for each node, link most; then those that are still apart
+    links = scratch.write(link_large_keys(entry, known, similarity).distinct(), "links-0", free=True)
+    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = links.union(scratch.write(verify(one), "links-1", free=True))
+    comp = scratch.write(components(links, scratch, "c-1"), "comp-1")
+    left = pairs.join(one, ["a", "b"], "left_anti")
+    left = left.join(comp.toDF("a", "x"), "a", "left").join(comp.toDF("b", "y"), "b", "left")
+    left = left.filter(~F.coalesce(F.col("x") == F.col("y"), F.lit(False))).select("a", "b")
+    more = scratch.write(verify(left), "links-2", free=True)
+    if not more.isEmpty():
+        comp = scratch.write(components(links.union(more), scratch, "c-2"), "comp-2")
+    of_node = comp.join(known.select("node", "digest"), "node")
     label = of_node.groupBy("comp").agg(F.min("digest").alias("group"))
     named = of_node.join(label, "comp").select("digest", "group")
     grouped = occurrences.select("row", "id", "line", "digest").join(named, "digest", "left").withColumn("group", F.coalesce("group", "digest"))
     grouped = scratch.write(grouped.select("row", "id", "line", "group"), "grouped", free=True)
-    scratch.drop("lines", "met", "lines-contents")
+    scratch.drop("lines", "met", "pairs", "entries", "wanted", "contents", "links-0", "links-1", "links-2")
     first = grouped.groupBy("group").agg(F.min(F.struct("id", "row", "line")).alias("first"))
     kept = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
     return grouped.join(first, "group").select("row", "id", "line", "group", kept.alias("kept"))

@@ -468,6 +468,53 @@ def test_op7_random_edits_against_all_pairs(spark, monkeypatch, large):
     assert all(root[i] == root[j] for i in group for j in range(i) if group[i] == group[j])
 
 
+@pytest.mark.parametrize("block", [4096, 40])
+def test_op7_all_pairs_of_a_large_key(spark, monkeypatch, block):
+    """Lines with one start and each a tenth of their characters changed share a large key: all
+    pairs of a key that are close and similar enough must be in one group."""
+    monkeypatch.setattr("quillstone.llm.components.LARGE", 12)
+    monkeypatch.setattr(lines, "LARGE", 12)
+    monkeypatch.setattr(lines, "BLOCK", block, raising=False)
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("etaoinshrdlucmf") for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    start = random_line(r, vocabulary, 60)
+    texts = []
+    for _ in range(60):
+        x = random_line(r, vocabulary, 120)
+        for _ in range(3):
+            texts.append(f"{start} {''.join(c if r.random() > 0.13 else r.choice('xyz') for c in x)}")
+    clean = [x.encode() for x in texts]
+    sims, keys, _, short = lines.fingerprints(clean)
+    keys = np.hstack([keys, short])
+    pairs = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            bits = int(np.bitwise_count(sims[i] ^ sims[j]).sum())
+            meet = bool(((keys[i] == keys[j]) & (keys[i] != 0)).any()) and bits <= min(lines.DISTANCE, 10 + max(map(len, (texts[i], texts[j]))) // 4)
+            if meet and lines.similar(texts[i], texts[j], lines.SIMILARITY):
+                pairs.add((i, j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {x.doc_id: x.group_id for x in lines.deduplicated_lines(df).collect()}
+    root = reachable_pairs(len(texts), pairs)
+    assert len(pairs) > 20
+    assert all((root[i] == root[j]) == (group[i] == group[j]) for i in group for j in range(i))
+
+
+def test_op7_few_pairs_join_copies(monkeypatch):
+    """Of n copies under one key some n pairs are verified, and n - 1 rows come out."""
+    r = random.Random(9)
+    x = prose(4, 40)
+    norm = sorted({"".join(c if r.random() > 0.01 else r.choice("xyz") for c in x) for _ in range(300)}, key=len)
+    sims, keys, _, short = lines.fingerprints([x.encode() for x in norm])
+    e = np.zeros(len(norm), lines.ENTRY)
+    e["size"], e["node"], e["s0"], e["s1"] = [len(x) for x in norm], np.arange(len(norm)), sims[:, 0], sims[:, 1]
+    tried = []
+    verify = lines.similar_pairs
+    monkeypatch.setattr(lines, "similar_pairs", lambda pairs, least: tried.extend(pairs) or verify(pairs, least))
+    joined, _ = lines.linked_entries(e, 0, np.hstack([keys, short]), norm, None, 0.8)
+    assert len(joined) == len(norm) - 1 and len(tried) <= 4 * len(norm)
+
+
 def reachable_pairs(n: int, pairs: set) -> list[int]:
     root = list(range(n))
     for i, j in pairs:
