@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -198,15 +199,15 @@ def natural_key(name: Column) -> Column:
     return F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, 20, "0")).otherwise(r))
 
 
-def detect_marks(text: Column) -> Column:
-    """Marks printed in a text, by the first rule that finds any."""
-    return F.coalesce(*[_blank_to_null(F.regexp_extract(text, spaced(p), 1)).cast("double") for p in MARKS_PATTERNS])
+def detect_marks(text: Column, written: Callable[[str], str] = spaced) -> Column:
+    """Marks printed in a text, by the first rule that finds any; ``written`` gives a rule's pattern."""
+    return F.coalesce(*[_blank_to_null(F.regexp_extract(text, written(p), 1)).cast("double") for p in MARKS_PATTERNS])
 
 
-def is_optional(text: Column) -> Column:
+def is_optional(text: Column, written: Callable[[str], str] = spaced) -> Column:
     out = F.lit(False)
     for p in OPTIONAL_PATTERNS:
-        out = out | text.rlike(spaced(p))
+        out = out | text.rlike(written(p))
     return out
 
 
