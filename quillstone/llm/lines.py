@@ -43,7 +43,10 @@ DEALT = 20_000
 SENT = 500_000
 #: Pairs of lines that are verified together, at least for each 64 characters, and at most; of
 #: how many words of 64 characters at most, and how many words their characters' places take.
-TOGETHER, BATCH, WIDEST, PLACES = 8, 1024, 40, 1 << 22
+TOGETHER, BATCH, WIDEST, PLACES = 4, 4096, 160, 1 << 22
+#: Characters of the pairs that a task verifies at a time, of a text from which on
+#: a pair's characters are counted first, and how many pairs' are counted at once.
+GATHERED, COUNTED, TALLIED = 1 << 24, 1024, 256
 #: Columns after which pairs verified together are looked at for ones that can't be links.
 STEP = 32
 
@@ -81,6 +84,7 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
         places[c] = places.get(c, 0) | 1 << i
     full, last = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, score = full, 0, len(a)
+    look = max(32, len(a) // 16)
     for t, c in enumerate(b, 1):
         same = places.get(c, 0)
         flat = (((same & up) + up) ^ up) | same | down
@@ -88,7 +92,7 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
         score += bool(rise & last) - bool(fall & last)
         rise, fall = (rise << 1 | 1) & full, fall << 1 & full
         up, down = fall | ~(flat | rise) & full, rise & flat
-        if most is not None and t % 32 == 0 and (least := _least_end(up, down, t, len(a), len(b))) > most:
+        if most is not None and t % look == 0 and (least := _least_end(up, down, t, len(a), len(b))) > most:
             return least
     return score
 
@@ -157,16 +161,17 @@ def edit_distances(pairs: list[tuple], most: np.ndarray | None = None) -> np.nda
     a[np.arange(words * 64) < m[:, None]] = flat[:cut]
     b[np.arange(int(n[0])) < n[:, None]] = flat[cut:]
     b = np.ascontiguousarray(b.T)
-    # where each pair's first text has each character; a pad has bits beyond its rows only
-    places = np.zeros((len(pairs), kinds, words), _U)
+    # where each pair's first text has each character, word by word; a pad has bits beyond its rows only
+    places = np.zeros((words, len(pairs) * kinds), _U)
+    own = at * kinds
     for i in range(int(m.max())):
-        places[at, a[:, i], i // 64] |= _U(1 << i % 64)
-    places = places.reshape(-1, words)
+        places[i // 64][own + a[:, i]] |= _U(1 << i % 64)
     rows = np.clip(m[:, None] - 64 * np.arange(words), 0, 64).astype(_U)
     rows = np.where(rows == 64, ~_U(0), (_U(1) << (rows & _U(63))) - _U(1))
     up, down = np.full((words, len(pairs)), ~_U(0)), np.zeros((words, len(pairs)), _U)
     base = np.zeros(len(pairs), np.int64)  # the distance above the first word within the band
     one, top = _U(1), _U(63)
+    buffers = np.empty((9, len(pairs)), _U)
     out = np.empty(len(pairs), np.int64)
     if most is not None:
         most = np.asarray(most)[order]
@@ -180,18 +185,35 @@ def edit_distances(pairs: list[tuple], most: np.ndarray | None = None) -> np.nda
             base[:live] += np.bitwise_count(up[low, :live]).astype(np.int64) - np.bitwise_count(down[low, :live])
             up[low, :live] = down[low, :live] = 0
             low += 1
-        same = places[at[:live] * kinds + b[t, :live]]
-        rise_in, fall_in = one, _U(0)
+        place = own[:live] + b[t, :live]
+        same, flat, h, rise, fall, *carried = buffers[:, :live]
+        rise_in, fall_in = one, None
         for w in range(low, min(words, (t + band) // 64 + 1)):
             p, q = up[w, :live], down[w, :live]
-            x = same[:, w] | fall_in
-            flat = same[:, w] | q
-            h = (((x & p) + p) ^ p) | x
-            rise, fall = q | ~(h | p), p & h
-            rise_out, fall_out = rise >> top, fall >> top
-            rise, fall = rise << one | rise_in, fall << one | fall_in
-            up[w, :live] = fall | ~(flat | rise)
-            down[w, :live] = rise & flat
+            np.take(places[w], place, out=same, mode="clip")
+            np.bitwise_or(same, q, out=flat)
+            if fall_in is not None:
+                same |= fall_in
+            np.bitwise_and(same, p, out=h)
+            h += p
+            h ^= p
+            h |= same
+            np.bitwise_or(h, p, out=rise)
+            np.invert(rise, out=rise)
+            rise |= q
+            np.bitwise_and(p, h, out=fall)
+            rise_out, fall_out = carried[w % 2 :: 2]
+            np.right_shift(rise, top, out=rise_out)
+            np.right_shift(fall, top, out=fall_out)
+            rise <<= one
+            rise |= rise_in
+            fall <<= one
+            if fall_in is not None:
+                fall |= fall_in
+            np.bitwise_or(flat, rise, out=p)
+            np.invert(p, out=p)
+            p |= fall
+            np.bitwise_and(rise, flat, out=q)
             rise_in, fall_in = rise_out, fall_out
         base[:live] += 1
         if most is not None and t % STEP == STEP - 1:
@@ -202,7 +224,7 @@ def edit_distances(pairs: list[tuple], most: np.ndarray | None = None) -> np.nda
                 stay = np.ones(len(at), bool)
                 stay[gone] = False
                 at, m, n, most, base, b, rows = at[stay], m[stay], n[stay], most[stay], base[stay], b[:, stay], rows[stay]
-                up, down = up[:, stay], down[:, stay]
+                own, up, down = own[stay], up[:, stay], down[:, stay]
     out[order[at]] = base + (np.bitwise_count(up.T & rows).astype(np.int64) - np.bitwise_count(down.T & rows)).sum(axis=1)
     return out
 
@@ -220,6 +242,17 @@ def _least_ends(up: np.ndarray, down: np.ndarray, base: np.ndarray, m: np.ndarra
     return np.where(row - 16 <= m[:, None], least, np.iinfo(np.int64).max).min(axis=1)
 
 
+def _unlike(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """A bound of each distance from below: how many characters of one text are beyond those of the
+    other, by the 64 classes of their numbers."""
+    n = np.array([len(x) for side in zip(*pairs, strict=True) for x in side])
+    text = "".join(x for side in zip(*pairs, strict=True) for x in side)
+    kind = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 63
+    count = np.bincount(np.repeat(np.arange(len(n)) << 6, n) + kind, minlength=len(n) << 6).reshape(2, len(pairs), 64)
+    more = count[0] - count[1]
+    return np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+
+
 def similar_pairs(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
     """``similar`` of each pair. Pairs of like length are compared together where they are
     TOGETHER times as many as their texts have words of 64 characters."""
@@ -227,8 +260,14 @@ def similar_pairs(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
     size = [sorted((len(a), len(b))) for a, b in pairs]
     most = np.array([int(y * (1 - least) + 1e-9) for _, y in size], np.int64)
     alike: dict[int, list[int]] = {}
-    for i, (x, y) in enumerate(size):
-        if y - x <= most[i]:
+    longest = np.array([y for _, y in size], np.int64)
+    possible = longest - [x for x, _ in size] <= most
+    long = np.flatnonzero(possible & (longest >= COUNTED))
+    for k in range(0, len(long), TALLIED):
+        some = long[k : k + TALLIED]
+        possible[some] = _unlike([pairs[i] for i in some]) <= most[some]
+    for i, (x, _) in enumerate(size):
+        if possible[i]:
             words = -(-x // 64)
             alike.setdefault(words if words < 5 else 4 * words.bit_length() + (words >> words.bit_length() - 3), []).append(i)
     for some in alike.values():
@@ -236,9 +275,6 @@ def similar_pairs(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
         if len(some) < TOGETHER * words or words > WIDEST:
             out[some] = [similar(*pairs[i], least) for i in some]
             continue
-        if words > 16:  # a way to edit by words is then found sooner
-            out[some] = [edits_by_words(*(x.split(" ") for x in pairs[i]), most[i]) <= most[i] for i in some]
-            some = [i for i in some if not out[i]]
         some.sort(key=lambda i: size[i][1])
         k = 0
         while k < len(some):
@@ -476,7 +512,7 @@ def linked_entries(e: np.ndarray, place: int, keys: np.ndarray, norm: list[str],
         y = np.arange(i + 1, int(np.searchsorted(similarity * size - 1e-6, size[x[-1]], side="right")))
         i = int(x[-1]) + 1
         tried = join(x, y, x[:, None] < y)
-        many = max(1, many // 2) if tried > 4 * BATCH else min(STRIP, 2 * many)
+        many = max(1, many // 2) if tried > BATCH else min(STRIP, 2 * many)
     joined = np.flatnonzero(label != np.arange(n))
     return order[joined], order[label[joined]]
 
@@ -626,6 +662,19 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return docs.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, line int, digest binary, node long, norm string")
 
 
+def _gathered(batches, columns: tuple[str, ...], most: int):
+    """Tables of batches whose texts in ``columns`` take some ``most`` bytes together."""
+    some, size = [], 0
+    for b in batches:
+        some.append(b)
+        size += sum(pc.sum(pc.binary_length(b[c])).as_py() or 0 for c in columns)
+        if size >= most:
+            yield pa.Table.from_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.Table.from_batches(some)
+
+
 def line_groups(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
     """One row per line that has a word: ``row, id, line, group, kept`` of ``docs(row, id, text)``.
 
@@ -651,10 +700,10 @@ def line_groups(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARIT
 
     def verify(pairs: DataFrame) -> DataFrame:
         def confirm(batches):
-            for b in batches:
-                told = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
-                keep = pa.array(np.flatnonzero(similar_pairs(told, similarity)), pa.int32())
-                yield pa.record_batch([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
+            for t in _gathered(batches, ("x", "y"), GATHERED):
+                told = list(zip(t["x"].to_pylist(), t["y"].to_pylist(), strict=True))
+                keep = pa.array(np.flatnonzero(similar_pairs(told, similarity)), pa.int64())
+                yield from t.select(["a", "b"]).take(keep).combine_chunks().to_batches()
 
         both = pairs.join(known.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a")
         both = both.join(known.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")

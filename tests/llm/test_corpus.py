@@ -414,6 +414,26 @@ def test_op7_pairs_verified_together(monkeypatch):
     assert lines.similar_pairs([], 0.8).tolist() == []
 
 
+def test_op7_long_pairs_are_counted_and_verified_together(monkeypatch):
+    """120 pairs of some 1,300 characters take no Python loop of their own, and counts of
+    characters only tell of pairs that are no links."""
+    r = random.Random(41)
+    pairs = []
+    for i in range(120):
+        a = prose(7000 + i, 400)[:1300]
+        b = list(a if i % 3 else prose(9000 + i, 400)[:1300])
+        for _ in range(r.randrange(350)):
+            b[r.randrange(len(b))] = r.choice("aeé ,日")
+        pairs.append((a, "".join(b)[: r.randrange(1280, 1301)]))
+    distance = np.array([lines.edit_distance(a, b) for a, b in pairs])
+    assert (lines._unlike(pairs) <= distance).all()
+    monkeypatch.setattr(lines, "similar", None)
+    monkeypatch.setattr(lines, "edits_by_words", None)
+    most = np.array([int(max(map(len, p)) * 0.2 + 1e-9) for p in pairs])
+    assert (lines.similar_pairs(pairs, 0.8) == (distance <= most)).all()
+    assert 20 < (distance <= most).sum() < 100
+
+
 def test_op7_normalised_lines_agree_on_ascii():
     import re
 
