@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +66,19 @@ class Scratch:
             fs.delete(path, True)
 
 
+@contextmanager
+def collector_paused() -> Iterator[None]:
+    """No search for cyclic garbage meanwhile: work that fills large tables makes no cycles, and
+    every search would go through all that is new in them, again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, prefix_counts
+from .common import Scratch, collector_paused, prefix_counts
 
 #: Bytes that a worker's table of tokenized strings may take, and that of strings seen lately,
 #: which keeps none of more than LONG bytes; results don't depend on them.
@@ -118,24 +118,29 @@ class WordTokenizer:
                 yield from self._encode([t.decode()])
             return
         for at in range(0, len(texts), 512):
-            parts = [t.split() for t in texts[at : at + 512]]
-            unknown = set().union(*parts)
-            unknown -= self.runs.keys()
-            again = unknown & self.lately.keys()
-            new = {r: self.lately[r] for r in again}
-            new.update(self._learn(unknown - again))
-            self.runs.update(new)
-            for p in parts:
-                yield b"".join(map(self.runs.__getitem__, p))
-            for r in again:  # seen in two blocks: it stays while there is room
-                self.room -= ENTRY_BYTES + len(r) + len(new[r])
-            stays = again if self.room > 0 else ()
-            passing = new.keys() - stays
-            for r in passing:
-                del self.runs[r]
-            if sum(map(len, passing)) + ENTRY_BYTES * (len(self.lately) + len(passing)) > LATELY_BYTES:
-                self.lately = {}
-            self.lately.update((r, new[r]) for r in passing if len(r) <= LONG)
+            with collector_paused():
+                out = self._encode_runs(texts[at : at + 512])
+            yield from out
+
+    def _encode_runs(self, texts: list[bytes]) -> list[bytes]:
+        parts = [t.split() for t in texts]
+        unknown = set().union(*parts)
+        unknown -= self.runs.keys()
+        again = unknown & self.lately.keys()
+        new = {r: self.lately[r] for r in again}
+        new.update(self._learn(unknown - again))
+        self.runs.update(new)
+        out = [b"".join(map(self.runs.__getitem__, p)) for p in parts]
+        for r in again:  # seen in two blocks: it stays while there is room
+            self.room -= ENTRY_BYTES + len(r) + len(new[r])
+        stays = again if self.room > 0 else ()
+        passing = new.keys() - stays
+        for r in passing:
+            del self.runs[r]
+        if sum(map(len, passing)) + ENTRY_BYTES * (len(self.lately) + len(passing)) > LATELY_BYTES:
+            self.lately = {}
+        self.lately.update((r, new[r]) for r in passing if len(r) <= LONG)
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
