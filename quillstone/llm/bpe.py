@@ -12,6 +12,8 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import collector_paused
+
 #: Byte b is spelled as the character U+0100 + b: a letter, never white space.
 SHIFT = 0x100
 _TO_CHARS = {b: SHIFT + b for b in range(256)}
@@ -106,22 +108,26 @@ class ByteBPE:
 
     def _learn(self, segments: set[str]) -> None:
         pre = {s: [p.encode() for p in self.find(s)] for s in segments}
-        odd = sorted({p for ps in pre.values() for p in ps if p not in self.words})
+        odd = [*{p for ps in pre.values() for p in ps if p not in self.words}]
         ids = self.model.encode([spell(p) for p in odd], num_threads=1)
         known = {p: tuple(i - 1 for i in x) for p, x in zip(odd, ids, strict=True)}
         word = self.words
         self.memo.keep({s: tuple(chain.from_iterable((word[p],) if p in word else known[p] for p in ps)) for s, ps in pre.items()})
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        self.memo.spare = {}
         for at in range(0, len(texts), 256):
-            parts = [self._segments(t) for t in texts[at : at + 256]]
-            if new := set(chain.from_iterable(parts)) - self.memo.keys() - self.memo.spare.keys():
-                self._learn(new)
-            get = self.memo.__getitem__
-            for p in parts:
-                yield list(chain.from_iterable(map(get, p)))
-            self.memo.spare = {}
+            with collector_paused():
+                out = self._encode_some(texts[at : at + 256])
+            yield from out
+
+    def _encode_some(self, texts: list[str]) -> list[list[int]]:
+        parts = [self._segments(t) for t in texts]
+        if new := set(chain.from_iterable(parts)) - self.memo.keys():
+            self._learn(new)
+        get = self.memo.__getitem__
+        out = [list(chain.from_iterable(map(get, p))) for p in parts]
+        self.memo.spare = {}
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))

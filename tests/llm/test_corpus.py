@@ -126,6 +126,29 @@ def test_op2_byte_bpe(docs, empty):
     assert bpe.round_trip(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_op2_and_op5_fill_their_tables_without_the_collector(monkeypatch):
+    """New words are no garbage; the collector went through them over and over."""
+    import gc
+
+    ranks = bpe.load_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
+    coders = bpe.ByteBPE(sorted(ranks, key=ranks.__getitem__), public_tokenizers.PATTERN), packing.WordTokenizer(tokenizer_file("word_bpe_49k.json"))
+    r = random.Random(5)
+    texts = [" ".join(f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(60)) for _ in range(100)]
+    runs = []
+    counted = lambda phase, info: runs.append(phase)
+    before = gc.get_threshold()
+    gc.set_threshold(50)
+    gc.callbacks.append(counted)
+    try:
+        for coder, some in zip(coders, (texts, [t.encode() for t in texts]), strict=True):
+            runs.clear()
+            assert len(list(coder.encode_batch(some))) == 100
+            assert len(runs) < 20 and gc.isenabled(), type(coder)
+    finally:
+        gc.callbacks.remove(counted)
+        gc.set_threshold(*before)
+
+
 def test_op2_odd_texts():
     import tiktoken
 
