@@ -14,13 +14,14 @@ from xxhash import xxh64_intdigest
 from .common import Scratch
 from .components import by_difference, link_by_keys
 
-#: A signature has CHUNKS chunks of WIDTH symbols of BITS bits. Two signatures that
-#: differ in at most CHUNKS * (ERRORS + 1) - 1 symbols have a chunk that differs in at
-#: most ERRORS = 1 symbols (pigeonhole), and so share a key: a chunk with one symbol
-#: left out. At a similarity of 0.85 a pair has no such chunk with a probability of
-#: 0.283 ** 9, about 1 in 85,000; at 0.9 with 0.150 ** 9, 1 in 26 million.
-CHUNKS, WIDTH, ERRORS, BITS = 9, 7, 1, 16
-SYMBOLS = CHUNKS * WIDTH
+#: A signature has SYMBOLS symbols of BITS bits, in chunks. Two signatures of which a chunk
+#: differs in at most one symbol share a key: a chunk with one symbol left out. From a
+#: similarity of 0.85 on 9 chunks of 7 are enough: a pair at 0.85 has no such chunk with a
+#: probability of 0.283 ** 9, about 1 in 85,000; at 0.9 with 0.150 ** 9, 1 in 26 million. Below
+#: there are 12 of 5: at 0.8 it is 0.263 ** 12, about 1 in 9 million (with 9 of 7 1 in 2,293).
+SYMBOLS, BITS = 63, 16
+CHUNKS, WIDTH = 9, 7
+LOW_PERCENT, LOW_CHUNKS, LOW_WIDTH = 85, 12, 5
 #: Two low bits of each symbol are kept beside the keys. Pairs that share a key differ
 #: in more than SKETCH_LIMIT of the 63 with a probability under 1e-7 at 0.8 or above.
 SKETCH_LIMIT = 26
@@ -65,17 +66,19 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return _mixed(out) >> np.uint64(64 - BITS)
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """64-bit keys (rows by CHUNKS * WIDTH): each chunk with each one symbol left out."""
-    keys = np.empty((len(sig), CHUNKS * WIDTH), np.uint64)
-    for c in range(CHUNKS):
-        part = sig[:, c * WIDTH : (c + 1) * WIDTH]
-        for gap in range(WIDTH):
-            x = np.full(len(sig), c * WIDTH + gap + 1, np.uint64) * _A
-            for j in range(WIDTH):
+def chunk_keys(sig: np.ndarray, percent: int) -> np.ndarray:
+    """64-bit keys of each row: each chunk with each one symbol left out, in chunks for links
+    of ``percent``."""
+    chunks, width = (CHUNKS, WIDTH) if percent >= LOW_PERCENT else (LOW_CHUNKS, LOW_WIDTH)
+    keys = np.empty((len(sig), chunks * width), np.uint64)
+    for c in range(chunks):
+        part = sig[:, c * width : (c + 1) * width]
+        for gap in range(width):
+            x = np.full(len(sig), c * width + gap + 1, np.uint64) * _A
+            for j in range(width):
                 if j != gap:
                     x = _mixed(x * _A + part[:, j] + np.uint64(1))
-            keys[:, c * WIDTH + gap] = x
+            keys[:, c * width + gap] = x
     return keys
 
 
@@ -114,14 +117,14 @@ def _symbols(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SYMBOLS).astype(np.uint64)
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
+def _keys(nodes: DataFrame, percent: int) -> DataFrame:
     """``key, node``: a row for each key of each node."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                keys = chunk_keys(_symbols(b.column(1))).ravel().view(np.int64)
-                yield pa.record_batch([pa.array(keys), pa.array(b.column(0).to_numpy().repeat(CHUNKS * WIDTH))], names=["key", "node"])
+                keys = chunk_keys(_symbols(b.column(1)), percent)
+                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(b.column(0).to_numpy().repeat(keys.shape[1]))], names=["key", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
@@ -242,7 +245,7 @@ def near_duplicates(
         told = (lambda sample: refer(sample, known)), (lambda pairs, references: differ(pairs, references, known))
         return by_difference(open_rows, near, ["n", "p", "q"], *told, scratch, "near")
 
-    comp = link_by_keys([_keys(full)], sketches(full), near, prepare, verify, beyond, scratch, "near")
+    comp = link_by_keys([_keys(full, percent)], sketches(full), near, prepare, verify, beyond, scratch, "near")
     of_node = full.select("node", "digest", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     scratch.drop("near-contents")
     smallest = of_node.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -102,6 +102,16 @@ def test_op1_null_and_repeated_ids(spark):
     assert len({c for d, n, c, k in want if d is None}) > 1
 
 
+def test_op1_pairs_at_the_threshold_share_a_key():
+    """Of 8,000 pairs at a similarity of exactly 0.8 none is left out (with 9 chunks of 7 three were)."""
+    r = np.random.default_rng(1)
+    a, b = np.empty((2, 8000, minhash.SYMBOLS), np.uint64)
+    for i in range(len(a)):
+        h = r.integers(0, 2**63, 20, dtype=np.uint64) * np.uint64(2)
+        a[i], b[i] = minhash.signature(h[:18]), minhash.signature(h[2:])
+    assert (minhash.chunk_keys(a, 80) == minhash.chunk_keys(b, 80)).any(axis=1).all()
+
+
 def test_components_of_a_path(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
