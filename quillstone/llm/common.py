@@ -55,10 +55,12 @@ class Scratch:
         """Write a table and read it back. ``free`` has the driver collect its garbage, on
         which Spark deletes the shuffle files that made the table; else those of a whole
         run of steps may lie on the executors' disks together."""
+        kind = df.schema
         df.write.option("compression", "zstd").parquet(self.path(name))
+        del df  # else the shuffles of a plan that only this call knows are still in use
         if free:
             self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        return self.spark.read.schema(kind).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         for name in names:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from .common import Scratch
@@ -14,6 +17,21 @@ from .common import Scratch
 LARGE = 256
 #: Rows of a hub whose sets make its reference; any reference finds all pairs.
 SAMPLED = 15
+#: Edges (16 bytes each) up to which the driver finds the components by itself.
+FEW = 500_000
+
+
+def least_reached(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place that each place reaches by ``label`` and the links of ``a`` and ``b``."""
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[a], label[b])
+        np.minimum.at(new, label[b], label[a])
+        new = new[label]
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -21,12 +39,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) over written
     edge tables. Every step is a minimum per node and a join with it, so that a node
-    with a third of all edges is pre-aggregated and its join can be split.
+    with a third of all edges is pre-aggregated and its join can be split. FEW edges
+    are not worth the steps.
     """
     at = 0
     e = scratch.write(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0"
     )
+    if all(f.dataType == LongType() for f in e.schema) and e.count() <= FEW:
+        return e.sparkSession.createDataFrame(_components(e.toArrow()))
     while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -40,6 +61,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
+def _components(edges: pa.Table) -> pa.Table:
+    ends = np.concatenate([edges["u"].to_numpy(), edges["v"].to_numpy()])
+    nodes, place = np.unique(ends, return_inverse=True)
+    label = least_reached(np.arange(len(nodes)), *place.reshape(2, -1))
+    return pa.table({"node": pa.array(nodes, pa.int64()), "comp": pa.array(nodes[label], pa.int64())})
+
+
 def _stars(e: DataFrame) -> bool:
     """Whether each node has one parent at most and no parent has a parent."""
     ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(

@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from xxhash import xxh3_128_digest
 
 from .common import Scratch
-from .components import LARGE, components
+from .components import LARGE, components, least_reached
 
 SIMILARITY = 0.8
 #: Shorter normalised lines meet as equal lines only.
@@ -39,8 +39,8 @@ PIECE = 1 << 14
 RANGE_CHARS = 1 << 26
 #: Lines whose entries a task passes on at a time.
 DEALT = 20_000
-#: Nodes up to which those whose texts are needed are sent to all tasks (8 bytes each).
-SENT = 500_000
+#: Bits of the map, sent to all tasks, of the nodes whose texts are needed (a power of two).
+MARKS = 1 << 26
 #: Pairs of lines that are verified together, at least for each 64 characters, and at most; of
 #: how many words of 64 characters at most, and how many words their characters' places take.
 TOGETHER, BATCH, WIDEST, PLACES = 4, 4096, 160, 1 << 22
@@ -53,6 +53,7 @@ STEP = 32
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
 _NONE = _U(1 << 63)
+_LOW, _HIGH = _U((1 << 32) - 1), ~_U((1 << 32) - 1)
 _ELSEWHERE = np.random.default_rng(20240517).integers(0, 1 << 30, (64, 32))
 _PUNCTUATION = re.compile(r"[^\w\s]+")
 _LOWER = bytes(
@@ -138,6 +139,25 @@ def similar(a: str, b: str, least: float) -> bool:
     return edits_by_words(a.split(" "), b.split(" "), most) <= most or edit_distance(a, b, most) <= most
 
 
+def _common(a: str, b: str) -> int:
+    """How many characters both texts begin with."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _between(a: str, b: str) -> int:
+    """A bound of the distance from above: the longer rest between what both texts begin and end with."""
+    start = _common(a, b)
+    a, b = a[start:], b[start:]
+    return max(len(a), len(b)) - _common(a[::-1], b[::-1])
+
+
 def edit_distances(pairs: list[tuple], most: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distances of pairs of texts (or of bytes), of any lengths: the bit-parallel columns of all pairs
     are found together, in words of 64 rows (Hyyro 2003).
@@ -267,7 +287,11 @@ def similar_pairs(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
         some = long[k : k + TALLIED]
         possible[some] = _unlike([pairs[i] for i in some]) <= most[some]
     for i, (x, _) in enumerate(size):
-        if possible[i]:
+        if not possible[i]:
+            continue
+        if _between(*pairs[i]) <= most[i]:
+            out[i] = True
+        else:
             words = -(-x // 64)
             alike.setdefault(words if words < 5 else 4 * words.bit_length() + (words >> words.bit_length() - 3), []).append(i)
     for some in alike.values():
@@ -287,30 +311,30 @@ def similar_pairs(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(32))) * _A
-    h = (h ^ (h >> _U(29))) * _B
-    return h ^ (h >> _U(32))
+    h = h ^ h >> _U(32)
+    h *= _A
+    h ^= h >> _U(29)
+    h *= _B
+    h ^= h >> _U(32)
+    return h
 
 
 def _grams(pieces: list[bytes], *sizes: int):
-    """For each size (4 to 16 bytes): 64-bit hashes of the pieces' grams, and how many grams
-    each piece has. Pieces are padded to the largest size."""
+    """For each size (6 to 16 bytes): 64-bit hashes of all places of the pieces, which pieces are
+    padded to the largest size, how many places each has, and at which no gram begins."""
     data = [x.ljust(max(sizes)) for x in pieces]
     ends = np.cumsum([len(x) for x in data])
-    flat = np.frombuffer(b"".join(data) + bytes(16), np.uint8).astype(_U)
-    n = len(flat) - 16
-    two = flat[:-1] | flat[1:] << _U(8)
-    four = two[:-2] | two[2:] << _U(16)
+    n = int(ends[-1])
+    eight = np.ndarray((n + 8,), "<u8", b"".join(data) + bytes(16), strides=(1,)).copy()  # the word from each byte on
     for size in sizes:
         if size < 8:
-            h = four[:n] | four[size - 4 : size - 4 + n] << _U(32)
+            h = eight[:n] << _U(8 * (8 - size))
+            h &= _HIGH
+            h |= eight[:n] & _LOW
         else:
-            eight = four[:-4] | four[4:] << _U(32)
-            h = eight[:n] * _B ^ (eight[size - 8 : size - 8 + n] + _A)
-        whole = np.ones(n, bool)  # grams that lie within one piece
-        for i in range(1, size):
-            whole[ends - i] = False
-        yield _mixed(h[whole]), np.diff(ends, prepend=0) - size + 1
+            h = eight[:n] * _B
+            h ^= eight[size - 8 : size - 8 + n] + _A
+        yield _mixed(h), np.diff(ends, prepend=0), (ends - np.arange(1, size)[:, None]).reshape(-1)
 
 
 def _pieces(lines: list[bytes]):
@@ -332,12 +356,15 @@ def _pieces(lines: list[bytes]):
         yield own[0], np.array(own) - own[0], pieces
 
 
-def _lower(least: np.ndarray, own: np.ndarray, h: np.ndarray, counts: np.ndarray) -> None:
-    """Take the hashes into ``least``, the least of each line and bin."""
+def _lower(least: np.ndarray, own: np.ndarray, h: np.ndarray, counts: np.ndarray, none: np.ndarray) -> None:
+    """Take the hashes but those at ``none`` into ``least``, the least of each line and bin."""
     bins = least.shape[1]
-    place = ((h >> _U(32)) * _U(bins) >> _U(32)).astype(np.int64)
+    place = ((h >> _U(32)) * _U(bins) >> _U(32)).view(np.int64)
     place += np.repeat(own * bins, counts)
-    np.minimum.at(least.reshape(-1), place, h * _B >> _U(4))
+    h = h * _B
+    h >>= _U(4)
+    h[none] = _NONE
+    np.minimum.at(least.reshape(-1), place, h)
 
 
 def _filled(least: np.ndarray) -> np.ndarray:
@@ -361,18 +388,20 @@ def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     votes = np.zeros((len(lines), 128), np.int32)
     for low, own, pieces in _pieces(lines):
         n = int(own[-1]) + 1
-        (small, some), (large, many) = _grams(pieces, SMALL, GRAM)
-        _lower(least[low : low + n], own, large, many)
+        (small, some, no_small), (large, many, no_large) = _grams(pieces, SMALL, GRAM)
+        _lower(least[low : low + n], own, large, many, no_large)
         # a gram votes for or against one bit
-        at = (small & _U(255)).astype(np.int64) + np.repeat(own * 256, some)
-        cast = np.bincount(at, minlength=n * 256).reshape(n, 2, 128)
+        at = (small & _U(255)).view(np.int64)
+        at += np.repeat(own * 256, some)
+        at[no_small] = n * 256
+        cast = np.bincount(at, minlength=n * 256 + 1)[:-1].reshape(n, 2, 128)
         votes[low : low + n] += (cast[:, 0] - cast[:, 1]).astype(np.int32)
     keys = _filled(least)
     short = np.flatnonzero([len(x) < SHORT for x in lines])
     pairs = np.full((len(short), 2 * SHORT_KEYS), _NONE, _U)
     for low, own, pieces in _pieces([lines[i] for i in short]):
-        ((small, some),) = _grams(pieces, SMALL)
-        _lower(pairs[low : low + int(own[-1]) + 1], own, small, some)
+        ((small, some, none),) = _grams(pieces, SMALL)
+        _lower(pairs[low : low + int(own[-1]) + 1], own, small, some, none)
     pairs = _filled(pairs)
     both = np.zeros((len(lines), SHORT_KEYS), _U)
     both[short] = _mixed(pairs[:, ::2] * _A + pairs[:, 1::2]) | _U(1)
@@ -433,19 +462,6 @@ def _allowed(size):
     return np.minimum(DISTANCE, 10 + size.astype(np.int64) // 4)
 
 
-def _labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least place that each place reaches by ``label`` and the links of ``a`` and ``b``."""
-    while True:
-        new = label.copy()
-        np.minimum.at(new, label[a], label[b])
-        np.minimum.at(new, label[b], label[a])
-        new = new[label]
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def linked_entries(e: np.ndarray, place: int, keys: np.ndarray, norm: list[str], side: np.ndarray | None, similarity: float):
     """Components among entries of one key, by the links of all pairs that are close and don't share
     a key before this one (of the number ``place``), but for pairs that links already join.
@@ -496,7 +512,7 @@ def linked_entries(e: np.ndarray, place: int, keys: np.ndarray, norm: list[str],
             a, b = at[wanted], to[wanted]
             tried += len(a)
             linked = similar_pairs([(norm[order[j]], norm[order[k]]) for j, k in zip(a, b, strict=True)], similarity)
-            label = _labels(label, a[linked], b[linked])
+            label = least_reached(label, a[linked], b[linked])
             at, to = at[~wanted], to[~wanted]
             still = label[at] != label[to]
             at, to = at[still], to[still]
@@ -633,9 +649,26 @@ def meetings(docs: DataFrame, similarity: float) -> DataFrame:
     return docs.select("text").mapInArrow(deal, "pid int, data binary").groupBy("pid").applyInArrow(meet, _FOUND)
 
 
-def document_lines(docs: DataFrame) -> DataFrame:
-    """Lines that have a word of ``docs(row, id, text)``: ``row, id, line, digest`` (16 bytes) and,
-    from FUZZY_CHARS characters on, ``node`` (half of the digest) and ``norm``, the normalised line."""
+def node_marks(nodes: DataFrame) -> np.ndarray:
+    """A map of MARKS bits in words of 64, in which those of ``nodes(node)`` are set."""
+    word = F.shiftright(F.col("node").bitwiseAND(MARKS - 1), 6).alias("word")
+    bit = F.expr("shiftleft(1L, cast(node & 63 as int))")
+    found = nodes.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(MARKS // 64, _U)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(_U)
+    return out
+
+
+def marked(marks: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Which nodes have their bit set; some have that were not meant."""
+    at = node.view(_U) & _U(MARKS - 1)
+    return (marks[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
+
+
+def document_lines(docs: DataFrame, marks: np.ndarray) -> DataFrame:
+    """Lines that have a word of ``docs(row, id, text)``: ``row, id, line, digest`` (16 bytes) and, where
+    marked, ``node`` (half of the digest) and ``norm``, the normalised line."""
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches):
         for b in batches:
@@ -649,12 +682,12 @@ def document_lines(docs: DataFrame) -> DataFrame:
                             line.append(k)
                             clean.append(x)
                             digest.append(xxh3_128_digest(x))
-                text = pa.array(clean, pa.binary()).cast(pa.string())
-                fuzzy = pc.greater_equal(pc.utf8_length(text), FUZZY_CHARS)
-                node = pa.array(np.frombuffer(b"".join(digest), "<i8")[::2])
+                node = np.frombuffer(b"".join(digest), "<i8")[::2]
+                told = marked(sent.value, np.ascontiguousarray(node))
+                text = pa.array([x if y else None for x, y in zip(clean, told.tolist(), strict=True)], pa.binary()).cast(pa.string())
                 took = pa.array(row, pa.int32())
                 yield pa.record_batch(
-                    [b.column(0).take(took), b.column(1).take(took), pa.array(line, pa.int32()), pa.array(digest, pa.binary()), pc.if_else(fuzzy, node, None), pc.if_else(fuzzy, text, None)],
+                    [b.column(0).take(took), b.column(1).take(took), pa.array(line, pa.int32()), pa.array(digest, pa.binary()), pa.array(node, mask=~told), text],
                     names=["row", "id", "line", "digest", "node", "norm"],
                 )
 
@@ -689,13 +722,14 @@ def line_groups(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARIT
     64 bits one takes part in the search, the others meet as equal lines only.
     """
     found = scratch.write(meetings(docs, similarity), "met", free=True)
-    occurrences = scratch.write(document_lines(docs), "lines")
-    pairs = scratch.write(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+    pairs = scratch.write(found.filter("b is not null").select("a", "b").distinct(), "pairs", free=True)
     entry = scratch.write(found.filter("b is null").select("key", F.col("a").alias("node")).distinct(), "entries", free=True)
+    scratch.drop("met")
 
-    wanted = scratch.write(entry.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct(), "wanted", free=True)
-    told = occurrences.filter(F.col("norm").isNotNull()).select("node", "digest", "norm")
-    told = told.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "node", "left_semi").dropDuplicates(["node"])
+    # only lines that meet need their texts again
+    marks = node_marks(entry.select("node").union(pairs.select(F.explode(F.array("a", "b")))))
+    occurrences = scratch.write(document_lines(docs, marks), "lines", free=True)
+    told = occurrences.filter(F.col("norm").isNotNull()).select("node", "digest", "norm").dropDuplicates(["node"])
     known = scratch.write(told, "contents", free=True)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -725,7 +759,7 @@ def line_groups(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARIT
     named = of_node.join(label, "comp").select("digest", "group")
     grouped = occurrences.select("row", "id", "line", "digest").join(named, "digest", "left").withColumn("group", F.coalesce("group", "digest"))
     grouped = scratch.write(grouped.select("row", "id", "line", "group"), "grouped", free=True)
-    scratch.drop("lines", "met", "pairs", "entries", "wanted", "contents", "links-0", "links-1", "links-2")
+    scratch.drop("lines", "pairs", "entries", "contents", "links-0", "links-1", "links-2")
     first = grouped.groupBy("group").agg(F.min(F.struct("id", "row", "line")).alias("first"))
     kept = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
     return grouped.join(first, "group").select("row", "id", "line", "group", kept.alias("kept"))

@@ -654,3 +654,55 @@ def test_op10_damage_is_found(spark):
     spark.read.parquet(scratch.path("headers")).write.parquet(f"{scratch.root}-bad/headers")
     with pytest.raises(Exception, match="damaged payload"):
         warc.read_archive(spark, f"{scratch.root}-bad").select("payload_bytes").collect()
+
+
+def test_lines_that_meet_nothing_leave_no_text(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = ["".join(map(chr, rng.integers(97, 123, 80))) for _ in range(300)]
+    texts += [texts[0][:40] + "x" + texts[0][41:], texts[1], "short", "é" * 15, "short"]
+    written = {}
+    write = lines.Scratch.write
+
+    def keep(self, df, name, free=False):
+        out = write(self, df, name, free)
+        if name == "lines":
+            written["norm"] = [r.norm for r in out.collect() if r.norm is not None]
+        return out
+
+    monkeypatch.setattr(lines.Scratch, "write", keep)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r.doc_id: r.group_id for r in lines.deduplicated_lines(df).collect()}
+    assert len(group) == len(texts) and group[300] == group[0] and group[301] == group[1] and group[302] == group[304] != group[303]
+    assert len(set(group.values())) == len(texts) - 3
+    assert {texts[0], texts[300]} <= set(written["norm"]) and len(written["norm"]) < 10
+    marks = lines.node_marks(spark.createDataFrame([(-1,), (5,), (5,), (1 << 62,)], "node long"))
+    assert lines.marked(marks, np.array([-1, 5, 6, 0, 1])).tolist() == [True, True, False, True, False]
+    assert np.bitwise_count(marks).sum() == 3
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_few_and_many_edges(spark, tmp_path, monkeypatch, few):
+    from quillstone.llm import components as parts
+    from quillstone.llm.common import Scratch
+
+    monkeypatch.setattr(parts, "FEW", few)
+    rng = np.random.default_rng(3)
+    edges = [(int(a) - 40, int(b) - 40) for a, b in rng.integers(0, 150, (90, 2))] + [(1000 + (37 * i) % 101, 1000 + (37 * i + 37) % 101) for i in range(100)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    found = parts.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c")
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    assert {r.node: r.comp for r in found.collect()} == {x: y for x, y in label.items() if x not in alone}
+    assert parts.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test"), "none").count() == 0
+
+
+def test_pairs_by_common_ends():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = "".join(rng.choice(list("abé"), int(rng.integers(1, 30))))
+        cut, end = sorted(rng.integers(0, len(a) + 1, 2).tolist())
+        b = a[:cut] + "".join(rng.choice(list("abé"), int(rng.integers(0, 6)))) + a[end:]
+        assert lines._between(a, b) >= lines.edit_distance(a, b)
+        assert lines.similar_pairs([(a, b)], 0.8).tolist() == [lines.similar(a, b, 0.8)]
