@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import pairwise
 from os.path import commonprefix
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from xxhash import xxh3_128_digest
 
-from .common import Scratch
+from .common import Scratch, collector_paused
 from .components import LARGE, components, least_reached
 
 SIMILARITY = 0.8
@@ -33,22 +34,22 @@ SHORT, SHORT_KEYS, SMALL = 64, 6, 6
 #: _allowed. Of long lines that edits bring down to a similarity of 0.8, 99 in 100 differ in 41
 #: at most, unlike ones in 60 or so, and chance pairs grow with the square of the lines.
 DISTANCE = 40
-#: Bytes hashed at a time; longer lines are taken in pieces.
-PIECE = 1 << 14
-#: Characters of text whose entries (some 36 bytes for each of a line's keys) one task gathers.
-RANGE_CHARS = 1 << 26
+#: Bytes hashed at a time, and of a piece; longer lines are taken in pieces.
+HASHED, PIECE = 1 << 15, 1 << 14
+#: Bytes of text whose entries (some 36 bytes for each of a line's keys) one task gathers.
+RANGE_BYTES = 1 << 26
 #: Lines whose entries a task passes on at a time.
 DEALT = 20_000
 #: Bits of the map, sent to all tasks, of the nodes whose texts are needed (a power of two).
 MARKS = 1 << 26
-#: Pairs of lines that are verified together, at least for each 64 characters, and at most; of
-#: how many words of 64 characters at most, and how many words their characters' places take.
-TOGETHER, BATCH, WIDEST, PLACES = 4, 4096, 160, 1 << 22
+#: Pairs of lines that are verified together, at least for each 64 diagonals, and at most; of how many
+#: words of 64 diagonals at most, and how many words their characters' places and their diagonals take.
+TOGETHER, BATCH, WIDEST, PLACES, CELLS = 12, 8192, 32, 1 << 22, 1 << 15
 #: Characters of the pairs that a task verifies at a time, of a text from which on
 #: a pair's characters are counted first, and how many pairs' are counted at once.
-GATHERED, COUNTED, TALLIED = 1 << 24, 1024, 256
+GATHERED, COUNTED, TALLIED = 1 << 25, 1024, 256
 #: Columns after which pairs verified together are looked at for ones that can't be links.
-STEP = 32
+STEP = 16
 
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
@@ -56,16 +57,42 @@ _NONE = _U(1 << 63)
 _LOW, _HIGH = _U((1 << 32) - 1), ~_U((1 << 32) - 1)
 _ELSEWHERE = np.random.default_rng(20240517).integers(0, 1 << 30, (64, 32))
 _PUNCTUATION = re.compile(r"[^\w\s]+")
+_ASCII = bytes(range(128))
 _LOWER = bytes(
     (b | 32 if 65 <= b <= 90 else b) if b == 10 or chr(b).isalnum() or b == 95 or b > 127 else 32 for b in range(256)
 )
 
 
-def normalised_lines(text: str) -> list[bytes]:
+@lru_cache(maxsize=1 << 16)
+def _plain(c: str) -> str | None:
+    """What a character past ASCII is in a normalised line (a space parts words), where its neighbours and its
+    lower case don't matter to that; else null."""
+    low = c.lower()
+    if c == "Σ" or len(low) > 1:
+        return None
+    return low if low.isalnum() else " "
+
+
+def _lowered(data: bytes) -> bytes | None:
+    """A text in lower case, a space for each character that parts words."""
+    if not data.isascii():
+        for c in set(data.translate(None, _ASCII).decode()):
+            if (x := _plain(c)) is None:
+                return None
+            if x != c:
+                data = data.replace(c.encode(), x.encode())
+    return data.translate(_LOWER)
+
+
+def normalised_lines(text: str | bytes) -> list[bytes]:
     """Each line in UTF-8: lower case, without punctuation, words parted by one space."""
-    if text.isascii():
-        return [b" ".join(x.split()) for x in text.encode().translate(_LOWER).split(b"\n")]
-    return [" ".join(_PUNCTUATION.sub(" ", x.lower()).split()).encode() for x in text.split("\n")]
+    text = text.encode() if isinstance(text, str) else text
+    data = _lowered(text)
+    if data is None:
+        return [" ".join(_PUNCTUATION.sub(" ", x.lower()).split()).encode() for x in text.decode().split("\n")]
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    return data.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n")
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
@@ -158,108 +185,182 @@ def _between(a: str, b: str) -> int:
     return max(len(a), len(b)) - _common(a[::-1], b[::-1])
 
 
+def _padded(texts: list, width: int) -> np.ndarray:
+    """Characters of texts (or bytes) by row, spaces beyond their ends."""
+    if isinstance(texts[0], bytes):
+        return np.frombuffer(b"".join([x.ljust(width) for x in texts]), np.uint8).reshape(-1, width)
+    return np.frombuffer("".join([x.ljust(width) for x in texts]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width)
+
+
 def edit_distances(pairs: list[tuple], most: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distances of pairs of texts (or of bytes), of any lengths: the bit-parallel columns of all pairs
-    are found together, in words of 64 rows (Hyyro 2003).
-
-    Of a pair whose distance is beyond its ``most``, some number beyond it is the result: words
-    of which no row is within the largest ``most`` of the diagonal are left out, and a pair goes
-    where no way through a column can end within its own."""
-    order = np.array(sorted(range(len(pairs)), key=lambda i: -len(pairs[i][1])))
-    first, second = [pairs[i][0] for i in order], [pairs[i][1] for i in order]
-    m, n = np.array([len(x) for x in first], np.int64), np.array([len(x) for x in second], np.int64)
-    words = max(1, -(-int(m.max()) // 64))
-    at = np.arange(len(pairs))
-    flat = b"".join(x if isinstance(x, bytes) else x.encode("utf-32-le", "surrogatepass") for x in first + second)
-    flat = np.frombuffer(flat, np.uint8 if isinstance(first[0], bytes) else np.uint32)
-    code = np.zeros(int(flat.max(initial=0)) + 1, np.int32)
-    code[flat] = 1
-    code = np.cumsum(code, dtype=np.int32)  # from 1 on
-    kinds, flat = int(code[-1]) + 1, code[flat]
-    a, b = np.zeros((len(pairs), words * 64), np.int32), np.zeros((len(pairs), int(n[0])), np.int32)
-    cut = int(m.sum())
-    a[np.arange(words * 64) < m[:, None]] = flat[:cut]
-    b[np.arange(int(n[0])) < n[:, None]] = flat[cut:]
-    b = np.ascontiguousarray(b.T)
-    # where each pair's first text has each character, word by word; a pad has bits beyond its rows only
-    places = np.zeros((words, len(pairs) * kinds), _U)
-    own = at * kinds
-    for i in range(int(m.max())):
-        places[i // 64][own + a[:, i]] |= _U(1 << i % 64)
-    rows = np.clip(m[:, None] - 64 * np.arange(words), 0, 64).astype(_U)
-    rows = np.where(rows == 64, ~_U(0), (_U(1) << (rows & _U(63))) - _U(1))
-    up, down = np.full((words, len(pairs)), ~_U(0)), np.zeros((words, len(pairs)), _U)
-    base = np.zeros(len(pairs), np.int64)  # the distance above the first word within the band
-    one, top = _U(1), _U(63)
-    buffers = np.empty((9, len(pairs)), _U)
-    out = np.empty(len(pairs), np.int64)
-    if most is not None:
-        most = np.asarray(most)[order]
-    band = int(most.max()) if most is not None else max(int(m.max()), int(n[0]))
-    low = 0
-    for t in range(int(n[0])):
-        live = int(np.searchsorted(-n, -t, side="left"))  # pairs longer than t come first
+    are found together, in words of 64 rows.
+
+    Of a pair whose distance is beyond its ``most``, some number beyond it is the result. A way within ``most``
+    leaves the diagonals of its two ends by half of what it has beyond their difference at most, so
+    that only ``most`` + 1 diagonals are looked at, in bits that go down a row with each column (Hyyro 2003)."""
+    number: dict = {}
+    i, j = (np.array([number.setdefault(p[k], len(number)) for p in pairs], np.int64) for k in (0, 1))
+    texts = list(number)
+    size = np.array([len(x) for x in texts], np.int64)
+    i, j = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+    m, n = size[i], size[j]
+    most = n if most is None else np.asarray(most, np.int64)
+    out = n - m  # also where one is empty
+    at = np.flatnonzero((out <= most) & (m > 0))
+    at = at[np.argsort(-n[at], kind="stable")]
+    if len(at):
+        out[at] = _banded(texts, i[at], j[at], m[at], n[at], most[at])
+    return out
+
+
+def _banded(texts: list, i: np.ndarray, j: np.ndarray, m: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """edit_distances of texts of ``m`` and ``n`` characters, the longest ``n`` first and 0 < ``m`` <= ``n`` <= ``m + most``.
+    The last bit is the lowest row, ``low`` diagonals below the first one."""
+    low = (most - (n - m)) // 2
+    words = int((2 * low + n - m).max()) // 64 + 1
+    last = 64 * words - 1
+    one, top, six, wrap = _U(1), _U(63), _U(6), _U(63)
+    given = i, j
+    (i, first), (j, second) = ((np.unique(x, return_inverse=True)[1], [texts[k] for k in np.unique(x).tolist()]) for x in (i, j))
+    rows, text = _padded(first, int(m.max())), _padded(second, int(n[0]))
+    code = np.zeros(int(max(rows.max(), text.max())) + 1, np.int32)
+    code[rows] = 1
+    kinds = int(code.sum()) + 1  # 0 are those that the first texts don't have
+    code[code > 0] = np.arange(1, kinds, dtype=np.int32)
+    rows, text = (np.ascontiguousarray(code[x].T) for x in (rows, text))
+    # where each first text has each character, word by word after so many that no row is in; what
+    # it is filled up with are rows below its last one, which change none above
+    room = kinds * (max(len(text) + int(low.max()), len(rows) + last) // 64 + words + 2)
+    own = np.arange(len(first)) * room
+    if len(first) * room > PLACES and len(n) > 1:  # many scripts or long texts: fewer at a time
+        half = len(n) // 2
+        del rows, text
+        return np.concatenate([_banded(texts, given[0][x], given[1][x], m[x], n[x], most[x]) for x in (slice(half), slice(half, None))])
+    places = np.zeros(len(first) * room, _U)
+    for t, x in enumerate(rows):
+        places[own + (words + t // 64) * kinds + x] |= one << _U(t % 64)
+    own = own[i] + (low + 1) // 64 * kinds
+    off = ((low + 1) % 64).astype(_U)
+    begin = np.clip(last - low - 64 * np.arange(words)[:, None], 0, 64).astype(_U)
+    up, down = ~_U(0) << begin, np.zeros((words, len(n)), _U)
+    level = np.zeros(len(n), _U)  # columns in which the lowest row's entry is that of the diagonal before
+    out, at = np.empty(len(n), np.int64), np.arange(len(n))
+    two, flow, word = np.empty((6, words, len(n)), _U), np.empty((2, len(n)), _U), np.empty((words + 1) * len(n), _U)
+    chars = np.empty(len(n), np.int32)
+    place, further = np.empty((words + 1) * len(n), np.int64), kinds * np.arange(1, words + 1)[:, None]
+    longer = np.searchsorted(-n, -np.arange(int(n[0])), side="left").tolist()  # pairs longer than each t come first
+    for t in range(len(longer)):
+        live = longer[t]
         if not live:
             break
-        while 64 * low + 64 < t - band:
-            base[:live] += np.bitwise_count(up[low, :live]).astype(np.int64) - np.bitwise_count(down[low, :live])
-            up[low, :live] = down[low, :live] = 0
-            low += 1
-        place = own[:live] + b[t, :live]
-        same, flat, h, rise, fall, *carried = buffers[:, :live]
-        rise_in, fall_in = one, None
-        for w in range(low, min(words, (t + band) // 64 + 1)):
-            p, q = up[w, :live], down[w, :live]
-            np.take(places[w], place, out=same, mode="clip")
-            np.bitwise_or(same, q, out=flat)
-            if fall_in is not None:
-                same |= fall_in
-            np.bitwise_and(same, p, out=h)
-            h += p
-            h ^= p
-            h |= same
-            np.bitwise_or(h, p, out=rise)
-            np.invert(rise, out=rise)
-            rise |= q
-            np.bitwise_and(p, h, out=fall)
-            rise_out, fall_out = carried[w % 2 :: 2]
-            np.right_shift(rise, top, out=rise_out)
-            np.right_shift(fall, top, out=fall_out)
-            rise <<= one
-            rise |= rise_in
-            fall <<= one
-            if fall_in is not None:
-                fall |= fall_in
-            np.bitwise_or(flat, rise, out=p)
-            np.invert(p, out=p)
-            p |= fall
-            np.bitwise_and(rise, flat, out=q)
-            rise_in, fall_in = rise_out, fall_out
-        base[:live] += 1
-        if most is not None and t % STEP == STEP - 1:
-            least = _least_ends(up[low:, :live], down[low:, :live], base[:live], m[:live] - 64 * low, n[:live] - t - 1)
+        same, d, rise, fall, x, y = two[:, :, :live]
+        at_words, found = (x[: (words + 1) * live].reshape(-1, live) for x in (place, word))
+        text[t].take(j[:live], out=chars[:live], mode="clip")
+        np.add(own[:live], chars[:live], out=at_words[0])
+        np.add(at_words[0], further, out=at_words[1:])
+        places.take(at_words, out=found, mode="clip")
+        shift = off[:live]
+        np.right_shift(found[:-1], shift, out=same)
+        np.subtract(_U(64), shift, out=flow[0, :live])
+        np.left_shift(found[1:], flow[0, :live], out=x)  # none of it at 64
+        same |= x
+        shift += one
+        np.right_shift(shift, six, out=flow[0, :live])
+        shift &= wrap
+        flow[0, :live] *= _U(kinds)
+        own[:live] += flow[0, :live].view(np.int64)
+        p, q = up[:, :live], down[:, :live]
+        np.bitwise_and(same, p, out=x)
+        np.add(x, p, out=d)
+        if words > 1:
+            carry = flow[0, :live]
+            for w in range(words):
+                if w:
+                    d[w] += carry
+                if w < words - 1:
+                    np.invert(d[w], out=carry)
+                    carry &= p[w]
+                    carry |= x[w]
+                    carry >>= top
+        d ^= p
+        d |= same
+        d |= q
+        np.bitwise_or(d, p, out=rise)
+        np.invert(rise, out=rise)
+        rise |= q
+        np.bitwise_and(d, p, out=fall)
+        z = flow[1, :live]
+        np.right_shift(d[words - 1], top, out=z)
+        level[:live] += z
+        np.right_shift(d, one, out=x)
+        if words > 1:
+            np.left_shift(d[1:], top, out=y[1:])
+            x[:-1] |= y[1:]
+        np.bitwise_or(x, rise, out=p)
+        np.invert(p, out=p)
+        p |= fall
+        np.bitwise_and(x, rise, out=q)
+        if t % STEP == STEP - 1:
+            # no entry of a diagonal is less than those before, and the last one is as many rows off
+            least = t + 1 - level[:live].view(np.int64) - (n - m)[:live]
             gone = np.flatnonzero(least > most[:live])
             if 4 * len(gone) >= live:
-                out[order[at[gone]]] = least[gone]
+                out[at[gone]] = least[gone]
                 stay = np.ones(len(at), bool)
                 stay[gone] = False
-                at, m, n, most, base, b, rows = at[stay], m[stay], n[stay], most[stay], base[stay], b[:, stay], rows[stay]
-                own, up, down = own[stay], up[:, stay], down[:, stay]
-    out[order[at]] = base + (np.bitwise_count(up.T & rows).astype(np.int64) - np.bitwise_count(down.T & rows)).sum(axis=1)
+                ended = np.flatnonzero(stay[live:]) + live
+                out[at[ended]] = _ends(up[:, ended], down[:, ended], level[ended], low[ended], m[ended], n[ended], last)
+                stay[live:] = False
+                at, j, m, n, most, low, own, off, level = (x[stay] for x in (at, j, m, n, most, low, own, off, level))
+                longer[t + 1 :] = np.searchsorted(-n, -np.arange(t + 1, len(longer)), side="left").tolist()
+                up, down = up[:, stay], down[:, stay]
+    out[at] = _ends(up, down, level, low, m, n, last)
     return out
 
 
-def _least_ends(up: np.ndarray, down: np.ndarray, base: np.ndarray, m: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """A bound of each distance from below by a column that has ``left`` columns after it: each
-    sixteenth row's entry, less the rows that one between may be off, and what the rests differ in."""
-    words, pairs = up.shape
-    up, down = (np.ascontiguousarray(x).view(np.uint16).reshape(words, pairs, 4).transpose(1, 0, 2).reshape(pairs, -1) for x in (up, down))
-    step = np.bitwise_count(up).astype(np.int64) - np.bitwise_count(down)
-    entry = np.hstack([base[:, None], base[:, None] + np.cumsum(step, axis=1)])
-    row = 16 * np.arange(entry.shape[1])
-    # both the entry and the rest change by one a row at most, and 8 rows off is one of these
-    least = entry + np.abs(m[:, None] - row - left[:, None]) - 16
-    return np.where(row - 16 <= m[:, None], least, np.iinfo(np.int64).max).min(axis=1)
+def _ends(up: np.ndarray, down: np.ndarray, level: np.ndarray, low: np.ndarray, m: np.ndarray, n: np.ndarray, last: int) -> np.ndarray:
+    """The entries of row ``m`` after column ``n``: the lowest row's, less what the rows between rise by."""
+    base = 64 * np.arange(len(up))[:, None]
+    first, end = np.clip(last - (n - m) - low - base, 0, 64).astype(_U), np.clip(last - base, 0, 64).astype(_U)
+    rows = (~_U(0) << first) & ~(~_U(0) << end)
+    rise = np.bitwise_count(up & rows).astype(np.int64).sum(axis=0) - np.bitwise_count(down & rows).astype(np.int64).sum(axis=0)
+    return low + n - level.view(np.int64) - rise
+
+
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the length, how many characters it has of each of 64 classes of their numbers, and how many
+    pairs of neighbours of each of 256."""
+    n = np.array([len(x) for x in texts], np.int64)
+    chars, grams = np.zeros((len(n), 64), np.int32), np.zeros((len(n), 256), np.int32)
+    place = np.cumsum(n) // PIECE  # so many at a time that they stay at hand
+    cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True]) if len(n) else []
+    for x, y in pairwise(cuts):
+        flat = np.frombuffer("".join(texts[x:y]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = np.repeat(np.arange(y - x), n[x:y])
+        chars[x:y] = np.bincount((own << 6) + (flat & 63), minlength=(y - x) << 6).reshape(-1, 64)
+        two = (own[:-1] << 8) + (flat[:-1] * np.uint32(37) + flat[1:] & 255)
+        grams[x:y] = np.bincount(two[own[:-1] == own[1:]], minlength=(y - x) << 8).reshape(-1, 256)
+    return n, chars, grams
+
+
+def _possible(counts: tuple[np.ndarray, np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of texts ``i`` and ``j`` of _counts may be similar: an edit changes one character on each
+    side at most, and two pairs of neighbours."""
+    n, chars, grams = counts
+    out = np.ones(len(i), bool)
+    for k in range(0, len(i), TALLIED):
+        x, y = i[k : k + TALLIED], j[k : k + TALLIED]
+        most = (np.maximum(n[x], n[y]) * (1 - least) + 1e-9).astype(np.int64)
+        more = np.abs(n[x] - n[y])
+        may = more <= most
+        may &= np.abs(chars[x] - chars[y]).sum(axis=1) + more <= 2 * most
+        some = np.flatnonzero(may)
+        x, y = x[some], y[some]
+        gap = np.abs(np.maximum(n[x] - 1, 0) - np.maximum(n[y] - 1, 0))
+        may[some] = np.abs(grams[x] - grams[y]).sum(axis=1) + gap <= 4 * most[some]
+        out[k : k + TALLIED] = may
+    return out
 
 
 def _unlike(pairs: list[tuple[str, str]]) -> np.ndarray:
@@ -274,39 +375,44 @@ def _unlike(pairs: list[tuple[str, str]]) -> np.ndarray:
 
 
 def similar_pairs(pairs: list[tuple[str, str]], least: float) -> np.ndarray:
-    """``similar`` of each pair. Pairs of like length are compared together where they are
-    TOGETHER times as many as their texts have words of 64 characters."""
+    """``similar`` of each pair. Pairs whose diagonals take as many words are compared together where there
+    are enough of them: TOGETHER times as many as these words, or 8 times TOGETHER of shorter texts."""
     out = np.zeros(len(pairs), bool)
-    size = [sorted((len(a), len(b))) for a, b in pairs]
-    most = np.array([int(y * (1 - least) + 1e-9) for _, y in size], np.int64)
-    alike: dict[int, list[int]] = {}
-    longest = np.array([y for _, y in size], np.int64)
-    possible = longest - [x for x, _ in size] <= most
+    size = np.array([[len(x) for x, _ in pairs], [len(y) for _, y in pairs]], np.int64)
+    longest = size.max(axis=0)
+    most = (longest * (1 - least) + 1e-9).astype(np.int64)
+    possible = longest - size.min(axis=0) <= most
     long = np.flatnonzero(possible & (longest >= COUNTED))
     for k in range(0, len(long), TALLIED):
         some = long[k : k + TALLIED]
         possible[some] = _unlike([pairs[i] for i in some]) <= most[some]
-    for i, (x, _) in enumerate(size):
-        if not possible[i]:
-            continue
-        if _between(*pairs[i]) <= most[i]:
-            out[i] = True
-        else:
-            words = -(-x // 64)
-            alike.setdefault(words if words < 5 else 4 * words.bit_length() + (words >> words.bit_length() - 3), []).append(i)
-    for some in alike.values():
-        words = -(-max(size[i][0] for i in some) // 64)
-        if len(some) < TOGETHER * words or words > WIDEST:
+        for i in some[possible[some]]:
+            if _between(*pairs[i]) <= most[i]:
+                out[i], possible[i] = True, False
+    of_width: dict[int, list[int]] = {}
+    width = most // 64 + 1  # words that the diagonals take
+    for i in np.flatnonzero(possible)[np.argsort(longest[possible], kind="stable")].tolist():
+        w = int(width[i])
+        of_width.setdefault(w if w < 5 else 4 * w.bit_length() + (w >> w.bit_length() - 3), []).append(i)
+    some: list[int] = []
+    for left, more in zip(range(len(of_width) - 1, -1, -1), of_width.values(), strict=True):
+        some = more[::-1] + some[::-1]  # the longest first
+        words = int(width[some[0]])
+        if (len(some) < TOGETHER * words if longest[some[0]] >= COUNTED else len(some) < 8 * TOGETHER) or words > WIDEST:
+            if left and words < 4:  # too few, so that wider ones take them along
+                some = some[::-1]
+                continue
             out[some] = [similar(*pairs[i], least) for i in some]
+            some = []
             continue
-        some.sort(key=lambda i: size[i][1])
         k = 0
         while k < len(some):
-            at = some[k : k + BATCH]
-            kinds = len(set().union(*(pairs[i][0] for i in at))) + len(set().union(*(pairs[i][1] for i in at)))
-            at = at[: max(1, PLACES // max(1, kinds * words))]  # many scripts or long texts: fewer at a time
-            out[at] = edit_distances([tuple(sorted(pairs[i], key=len)) for i in at], most[at]) <= most[at]
+            at = some[k : k + max(1, min(BATCH, CELLS // words, PLACES // max(1, int(longest[some[k]]))))]
+            alike = int(np.searchsorted(-longest[at], -0.5 * longest[at[0]], side="right"))
+            at = at[: max(alike, 8 * TOGETHER)]
+            out[at] = edit_distances([pairs[i] for i in at], most[at]) <= most[at]
             k += len(at)
+        some = []
     return out
 
 
@@ -323,7 +429,8 @@ def _grams(pieces: list[bytes], *sizes: int):
     """For each size (6 to 16 bytes): 64-bit hashes of all places of the pieces, which pieces are
     padded to the largest size, how many places each has, and at which no gram begins."""
     data = [x.ljust(max(sizes)) for x in pieces]
-    ends = np.cumsum([len(x) for x in data])
+    counts = np.array([len(x) for x in data])
+    ends = np.cumsum(counts)
     n = int(ends[-1])
     eight = np.ndarray((n + 8,), "<u8", b"".join(data) + bytes(16), strides=(1,)).copy()  # the word from each byte on
     for size in sizes:
@@ -334,21 +441,21 @@ def _grams(pieces: list[bytes], *sizes: int):
         else:
             h = eight[:n] * _B
             h ^= eight[size - 8 : size - 8 + n] + _A
-        yield _mixed(h), np.diff(ends, prepend=0), (ends - np.arange(1, size)[:, None]).reshape(-1)
+        yield _mixed(h), counts, (ends - np.arange(1, size)[:, None]).reshape(-1)
 
 
 def _pieces(lines: list[bytes]):
-    """``lines`` in pieces that overlap by a gram less a byte, some PIECE bytes at a time: the
+    """``lines`` in pieces that overlap by a gram less a byte, some HASHED bytes at a time: the
     first line, the line of each piece from there, the pieces."""
     own: list[int] = []
     pieces: list[bytes] = []
-    room = PIECE
+    room = HASHED
     for i, x in enumerate(lines):
-        for k in range(0, max(1, len(x) - GRAM + 1), PIECE):
-            part = x[k : k + PIECE + GRAM - 1]
+        whole = len(x) < PIECE + GRAM
+        for part in (x,) if whole else [x[k : k + PIECE + GRAM - 1] for k in range(0, len(x) - GRAM + 1, PIECE)]:
             if own and len(part) > room:
                 yield own[0], np.array(own) - own[0], pieces
-                own, pieces, room = [], [], PIECE
+                own, pieces, room = [], [], HASHED
             own.append(i)
             pieces.append(part)
             room -= len(part)
@@ -412,22 +519,21 @@ def fingerprints(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 ENTRY = np.dtype([("key", "<u8"), ("size", "<u4"), ("node", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
 
 
-def _node(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
 def entries(lines: dict[bytes, bytes]) -> np.ndarray:
-    """The entries of lines, by digest, in order of key, size and node."""
+    """The entries of lines, by digest, in order of their keys."""
     clean = list(lines.values())
     sims, keys, _, short = fingerprints(clean)
     every = np.hstack([keys, short])
-    row, column = np.nonzero(every)
-    out = np.empty(len(row), ENTRY)
-    out["key"] = every[row, column]
-    out["size"] = np.array([len(x) if x.isascii() else len(x.decode()) for x in clean], np.uint32)[row]
-    out["node"] = np.array([_node(d) for d in lines], np.int64)[row]
-    out["s0"], out["s1"] = sims[row, 0], sims[row, 1]
-    return out[np.lexsort((out["node"], out["size"], out["key"]))]
+    key = every.reshape(-1)
+    at = np.argsort(key)
+    at = at[np.searchsorted(key[at], _U(0), side="right") :]
+    line = np.empty(len(clean), ENTRY)
+    line["size"] = [len(x) if x.isascii() else len(x.decode()) for x in clean]
+    line["node"] = np.frombuffer(b"".join(lines), "<i8")[::2]
+    line["s0"], line["s1"] = sims[:, 0], sims[:, 1]
+    out = line[at // every.shape[1]]
+    out["key"] = key[at]
+    return out
 
 
 def _group_sizes(key: np.ndarray) -> np.ndarray:
@@ -477,6 +583,7 @@ def linked_entries(e: np.ndarray, place: int, keys: np.ndarray, norm: list[str],
     size = size.astype(np.int64)
     before = keys[order, :place]
     part = None if side is None else side[order]
+    counts = _counts([norm[i] for i in order])
     n = len(e)
     label = np.arange(n)
 
@@ -488,47 +595,55 @@ def linked_entries(e: np.ndarray, place: int, keys: np.ndarray, norm: list[str],
         out[by] = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
         return out
 
-    def join(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> int:
-        """Join rows x and y that are linked, of the pairs in ``apart``; how many were verified."""
-        nonlocal label
+    def close(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows x and y, of those in ``apart``, that may be linked."""
         apart &= (label[x][:, None] != label[y]) & (node[x][:, None] != node[y])
         if part is not None:
             apart &= part[x][:, None] != part[y]
         at, to = np.nonzero(apart)
         at, to = np.minimum(x[at], y[to]), np.maximum(x[at], y[to])
         bits = np.bitwise_count(s0[at] ^ s0[to]).astype(np.int64) + np.bitwise_count(s1[at] ^ s1[to])
-        close = (bits <= _allowed(size[to])) & (size[at] >= similarity * size[to] - 1e-6)
-        at, to = at[close], to[close]
+        near = (bits <= _allowed(size[to])) & (size[at] >= similarity * size[to] - 1e-6)
+        at, to = at[near], to[near]
         if 4 * len(at) < len(x) * n:  # else copies, which are soon one component
             met = np.zeros(len(at), bool)
             for k in range(place):
                 met |= (before[at, k] == before[to, k]) & (before[at, k] != 0)
             at, to = at[~met], to[~met]
-        few, tried = 1, 0
-        while len(at):
+            may = _possible(counts, at, to, similarity)
+            at, to = at[may], to[may]
+        return at, to
+
+    def join(at: np.ndarray, to: np.ndarray) -> None:
+        """Join rows ``at`` and ``to`` that are linked."""
+        nonlocal label
+        few = 1
+        while True:
+            still = label[at] != label[to]
+            at, to = at[still], to[still]
+            if not len(at):
+                return
             wanted = np.ones(len(at), bool)
             if len(at) > STRIP:
                 wanted = (nth(label[at]) < few) | (nth(label[to]) < few)
             a, b = at[wanted], to[wanted]
-            tried += len(a)
             linked = similar_pairs([(norm[order[j]], norm[order[k]]) for j, k in zip(a, b, strict=True)], similarity)
             label = least_reached(label, a[linked], b[linked])
             at, to = at[~wanted], to[~wanted]
-            still = label[at] != label[to]
-            at, to = at[still], to[still]
-            few *= 4
-        return tried
+            few *= 4 if 4 * linked.sum() > len(a) else n  # where few are links, the others hardly save any
 
     for x in (n // 2, n // 4, 3 * n // 4):
-        join(np.array([x]), np.arange(n), np.ones((1, n), bool))
-    i, many = 0, 1
+        join(*close(np.array([x]), np.arange(n), np.ones((1, n), bool)))
+    held, i = [], 0
     while i < n - 1:
-        x = np.arange(i, min(i + many, n - 1))
+        x = np.arange(i, min(i + STRIP, n - 1))
         # of the later ones, which are as large at least, those up to the most that a link allows
         y = np.arange(i + 1, int(np.searchsorted(similarity * size - 1e-6, size[x[-1]], side="right")))
         i = int(x[-1]) + 1
-        tried = join(x, y, x[:, None] < y)
-        many = max(1, many // 2) if tried > BATCH else min(STRIP, 2 * many)
+        held.append(close(x, y, x[:, None] < y))
+        if i >= n - 1 or sum(len(at) for at, _ in held) > 4 * BATCH:
+            join(*(np.concatenate(side) for side in zip(*held, strict=True)))
+            held = []
     joined = np.flatnonzero(label != np.arange(n))
     return order[joined], order[label[joined]]
 
@@ -557,7 +672,8 @@ def link_large_keys(entry: DataFrame, known: DataFrame, similarity: float) -> Da
         own = np.flatnonzero((keys == e["key"][:, None]).any(axis=0))
         i, j, block = (rows[c].to_numpy() for c in ("i", "j", "block"))
         side = None if i[0] == j[0] else block == i[0]
-        a, b = linked_entries(e, int(own[0]) if len(own) else 0, keys, rows["norm"].to_pylist(), side, similarity)
+        with collector_paused():
+            a, b = linked_entries(e, int(own[0]) if len(own) else 0, keys, rows["norm"].to_pylist(), side, similarity)
         a, b = e["node"][a], e["node"][b]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -584,8 +700,8 @@ def meetings(docs: DataFrame, similarity: float) -> DataFrame:
     its own, marked by the size 0, so that all others of the key go on too.
     """
     spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(chars // RANGE_CHARS))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // RANGE_BYTES))
 
     def dealt(lines: dict[bytes, bytes], number: int) -> pa.RecordBatch:
         pid, data = [], []
@@ -609,9 +725,9 @@ def meetings(docs: DataFrame, similarity: float) -> DataFrame:
         lines: dict[bytes, bytes] = {}
         number = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                for x in normalised_lines(t or ""):
-                    if len(x) >= FUZZY_CHARS and (x.isascii() or len(x.decode()) >= FUZZY_CHARS):
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                for x in normalised_lines(t or b""):
+                    if len(x) >= 4 * FUZZY_CHARS or len(x) >= FUZZY_CHARS and len(x.decode()) >= FUZZY_CHARS:
                         lines.setdefault(xxh3_128_digest(x), x)
                 if len(lines) >= DEALT:
                     yield dealt(lines, number)
@@ -624,9 +740,12 @@ def meetings(docs: DataFrame, similarity: float) -> DataFrame:
         if blocks["pid"][0].as_py() >= ranges:
             large, left, right = e, *np.empty((2, 0), np.int64)
         else:
+            key = np.ascontiguousarray(e["key"])
+            at = np.argsort(key)
+            e = e[at[_group_sizes(key[at]) > 1]]  # most keys are those of one line
             e = e[np.lexsort((e["node"], e["size"], e["key"]))]
             same = np.r_[False, (e["key"][1:] == e["key"][:-1]) & (e["node"][1:] == e["node"][:-1]) & (e["size"][1:] == e["size"][:-1])]
-            e = e[~same]
+            e = e[~same[: len(e)]]
             marked = np.unique(e["key"][e["size"] == 0])
             e = e[e["size"] > 0]
             some = _group_sizes(e["key"]) if len(e) else np.empty(0, np.int64)
@@ -672,11 +791,11 @@ def document_lines(docs: DataFrame, marks: np.ndarray) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column(2).to_pylist()
+            texts = b.column(2).cast(pa.binary()).to_pylist()
             for at in range(0, len(texts), 256):
                 row, line, clean, digest = [], [], [], []
                 for i, t in enumerate(texts[at : at + 256], at):
-                    for k, x in enumerate(normalised_lines(t or "")):
+                    for k, x in enumerate(normalised_lines(t or b"")):
                         if x:
                             row.append(i)
                             line.append(k)
@@ -735,9 +854,13 @@ def line_groups(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARIT
     def verify(pairs: DataFrame) -> DataFrame:
         def confirm(batches):
             for t in _gathered(batches, ("x", "y"), GATHERED):
-                told = list(zip(t["x"].to_pylist(), t["y"].to_pylist(), strict=True))
-                keep = pa.array(np.flatnonzero(similar_pairs(told, similarity)), pa.int64())
-                yield from t.select(["a", "b"]).take(keep).combine_chunks().to_batches()
+                x, y = t["x"].to_pylist(), t["y"].to_pylist()
+                nodes, at, place = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]), return_index=True, return_inverse=True)
+                i, j = place.reshape(2, -1)
+                may = np.flatnonzero(_possible(_counts([x[k] if k < len(x) else y[k - len(x)] for k in at.tolist()]), i, j, similarity))
+                with collector_paused():
+                    found = similar_pairs([(x[k], y[k]) for k in may.tolist()], similarity)
+                yield from t.select(["a", "b"]).take(pa.array(may[found])).combine_chunks().to_batches()
 
         both = pairs.join(known.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a")
         both = both.join(known.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")

@@ -467,6 +467,84 @@ def test_op7_long_pairs_are_counted_and_verified_together(monkeypatch):
     assert 20 < (distance <= most).sum() < 100
 
 
+def test_op7_pairs_take_words_by_their_diagonals(monkeypatch):
+    """Texts of 300 characters have 61 diagonals within a similarity of 0.8, so that one word of 64 holds them and
+    pairs of all lengths up to there are verified in one call; distances are those of plain columns."""
+    r = random.Random(12)
+    pairs = []
+    for i in range(400):
+        a = prose(100 + i, 80)[: r.randint(70, 300)]
+        b = "".join(c if r.random() > 0.17 else r.choice("aeé 日") for c in a) if i % 2 else prose(900 + i, 80)[: len(a)]
+        pairs.append((a, b[r.randint(0, 9) :]))
+    calls = []
+    banded = lines._banded
+    monkeypatch.setattr(lines, "_banded", lambda *x: calls.append(len(x[1])) or banded(*x))
+    monkeypatch.setattr(lines, "similar", None)
+    distance = np.array([lines.edit_distance(a, b) for a, b in pairs])
+    most = np.array([int(max(map(len, p)) * 0.2 + 1e-9) for p in pairs])
+    assert (lines.similar_pairs(pairs, 0.8) == (distance <= most)).all() and 50 < (distance <= most).sum() < 250
+    assert len(calls) <= 3
+    for share in (0, 0.1, 0.5, 1):
+        most = np.array([int(max(map(len, p)) * share) for p in pairs])
+        found = lines.edit_distances(pairs, most)
+        assert np.where(distance <= most, found == distance, found > most).all()
+
+
+def test_op7_counts_leave_out_no_link():
+    """Pairs that counts of characters and of neighbours tell apart are no links; most chance pairs are."""
+    r = random.Random(13)
+    texts, links = ["", "é", "ab"], 0
+    for i in range(150):
+        x = prose(i, 60)[: r.randint(20, 400)]
+        texts += [x, "".join(c if r.random() > 0.18 else r.choice("aeé 日") for c in x), x[r.randint(0, len(x) // 5) :]]
+    i, j = np.triu_indices(len(texts), 1)
+    may = lines._possible(lines._counts(texts), i, j, 0.8)
+    for x, y, z in zip(i.tolist(), j.tolist(), may.tolist(), strict=True):
+        if not z or y - x < 3:
+            like = lines.similar_pairs([(texts[x], texts[y])], 0.8)[0] if y - x < 3 else False
+            links += like
+            assert z or not like
+    assert links > 100 and may.mean() < 0.2
+
+
+def test_op7_large_key_in_few_calls(monkeypatch):
+    """Chance pairs of a key are told apart together, not strip by strip."""
+    r = random.Random(15)
+    vocabulary = ["".join(r.choice("etaoinsh") for _ in range(r.randint(2, 6))) for _ in range(60)]
+    norm = sorted((random_line(r, vocabulary, r.randint(90, 110)) for _ in range(300)), key=len)
+    sims, keys, _, short = lines.fingerprints([x.encode() for x in norm])
+    e = np.zeros(len(norm), lines.ENTRY)
+    e["size"], e["node"], e["s0"], e["s1"] = [len(x) for x in norm], np.arange(len(norm)), sims[:, 0], sims[:, 1]
+    monkeypatch.setattr(lines, "DISTANCE", 128)
+    monkeypatch.setattr(lines, "_allowed", lambda size: np.full(size.shape, 128))
+    calls = []
+    verify = lines.similar_pairs
+    monkeypatch.setattr(lines, "similar_pairs", lambda pairs, least: calls.append(len(pairs)) or verify(pairs, least))
+    joined, to = lines.linked_entries(e, 0, np.hstack([keys, short]), norm, None, 0.6)
+    pairs = {(i, j) for i in range(len(norm)) for j in range(i) if lines.similar(norm[i], norm[j], 0.6)}
+    root = reachable_pairs(len(norm), pairs)
+    label = list(range(len(norm)))
+    for x, y in zip(joined.tolist(), to.tolist(), strict=True):
+        label[x] = y
+    assert len(calls) <= 9 and all((root[i] == root[j]) == (label[i] == label[j]) for i in range(len(norm)) for j in range(i))
+
+
+def test_op7_normalised_lines_of_any_script():
+    import re
+
+    def plain(t):
+        return [" ".join(re.sub(r"[^\w\s]+", " ", x.lower()).split()).encode() for x in t.split("\n")]
+
+    r = random.Random(14)
+    letters = "aZ _.,\n\n\t \x0b\x1c\x85\xa0ÉéßΣσςİıñÑ“”—日本\u3000\u0301\u200b½²ⅧⓐÅＡ٣"
+    for _ in range(3000):
+        t = "".join(r.choice(letters) for _ in range(r.randint(0, 25)))
+        assert lines.normalised_lines(t) == plain(t) == lines.normalised_lines(t.encode())
+    for k in [*range(0x80, 0x3000), *range(0xF900, 0x11000)]:
+        t = f"Ab{chr(k)}Cd {chr(k)}\n{chr(k)} x"
+        assert lines.normalised_lines(t) == plain(t)
+
+
 def test_op7_normalised_lines_agree_on_ascii():
     import re
 
